@@ -6,9 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from quarry.llm import html_text, secrets
+from quarry.llm.chat_collapse import collapse_and_render
+from quarry.llm.common import run_dir
 from quarry.llm.exact_dedup import ExactDedup
 
 
+def op2_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_and_render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP2_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(turn, 9223372036854775807) AS ord, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+     r AS (SELECT conv_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS total,
+                  md5(string_agg(role || chr(31) || text || chr(30), '') OVER w) AS h
+           FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY ord, role, text ROWS UNBOUNDED PRECEDING)),
+     whole AS (SELECT n, h, min(conv_id) AS conv_id FROM r WHERE n = total GROUP BY n, h),
+     kept AS (SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.n < r.total AND r.n = whole.n AND r.h = whole.h))
+SELECT t.conv_id, t.ord // 256 AS part, kept.n AS n_turns,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY ord, role, text) AS text
+FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY ALL
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactDedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).decisions()
 
@@ -21,11 +43,26 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = secrets.BlobLedger(spark, f"{run_dir(spark, 'secret-ledger')}/ledger")
+    found = ledger.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    kinds, base = tuple(r.name for r in secrets.RULES), tuple(r.name for r in secrets.BASE)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["rule"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, base), F.sha2(secrets.listed(F.col("spans"), base), 256).alias("base_sha256"), secrets.listed(F.col("spans"), kinds).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_chat_collapse": op2_chat_collapse,
         "op5_exact_dedup": op5_exact_dedup,
+        "op9_html_text": op9_html_text,
+        "op10_secrets": op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op2_chat_collapse": OP2_SQL, "op5_exact_dedup": OP5_SQL}
