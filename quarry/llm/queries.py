@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quarry.llm import html_text, secrets
+from quarry.llm import html_text, secrets, token_store
 from quarry.llm.chat_collapse import collapse_and_render
 from quarry.llm.common import run_dir
 from quarry.llm.exact_dedup import ExactDedup
@@ -43,6 +43,19 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file, where the machine keeps it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{run_dir(spark, 'token-store')}/shards"
+    token_store.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -58,6 +71,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_collapse": op2_chat_collapse,
+        "op4_token_store": op4_token_store,
         "op5_exact_dedup": op5_exact_dedup,
         "op9_html_text": op9_html_text,
         "op10_secrets": op10_secrets,
