@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quarry.llm import html_text, secrets, token_store
+from quarry.llm import html_text, packing, secrets, token_store
 from quarry.llm.chat_collapse import collapse_and_render
 from quarry.llm.common import run_dir
 from quarry.llm.exact_dedup import ExactDedup
@@ -56,6 +56,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_collapse": op2_chat_collapse,
         "op4_token_store": op4_token_store,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_packing": op7_packing,
         "op9_html_text": op9_html_text,
         "op10_secrets": op10_secrets,
     }
