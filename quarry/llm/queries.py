@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quarry.llm import html_text, packing, secrets, token_store
+from quarry.llm import html_text, packing, quality, secrets, token_store
 from quarry.llm.chat_collapse import collapse_and_render
 from quarry.llm.common import run_dir
 from quarry.llm.exact_dedup import ExactDedup
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.classify(documents, labels)
+
+
 def op2_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_and_render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -75,6 +80,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_chat_collapse": op2_chat_collapse,
         "op4_token_store": op4_token_store,
         "op5_exact_dedup": op5_exact_dedup,
