@@ -1,57 +1,16 @@
-"""What the training-data operators share: the folder for stage tables, and row keys."""
+"""What the training-data operators share: white space, texts, row keys; stage tables come from quarry.plans.stages."""
 
 from __future__ import annotations
 
-import atexit
-import getpass
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The white space that every operator on words or normalised text splits at.
-SPACE = r"[\x20\x09-\x0D]+"
-
-_RUNS: dict[str, object] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where the session has none (tests, a laptop) a local folder is used; a cluster must set one.
-    """
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{getpass.getuser()}").rstrip("/")
-
+from quarry.plans.stages import delete, run_dir, shared_dir, stored
 
-def run_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path for one run of an operator. It goes when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
-    if not _RUNS:
-        atexit.register(_clean)
-    _RUNS[path] = spark
-    return path
+__all__ = ["SPACE", "delete", "row_key", "run_dir", "shared_dir", "stored", "text_of"]
 
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder of stage tables with the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean() -> None:
-    for path, spark in _RUNS.items():
-        if spark.sparkContext._jsc is not None:
-            try:
-                delete(spark, path)
-            except Exception:  # noqa: BLE001  the JVM has gone first: nothing is left to delete with
-                return
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write a stage's table to the shared folder and read it back: lineage ends here, and a lost executor costs one read."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The white space that every operator on words or normalised text splits at.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def text_of(column: str = "text") -> Column:
