@@ -12,6 +12,7 @@ from quarry.llm import html_text, packing, quality, secrets, token_store
 from quarry.llm.chat_collapse import collapse_and_render
 from quarry.llm.common import run_dir
 from quarry.llm.exact_dedup import ExactDedup
+from quarry.llm.ngram_join import NgramJoin
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +67,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NgramJoin(spark.read.parquet(f"{sf_dir}/documents.parquet")).classes()
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_store": op4_token_store,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_packing": op7_packing,
+        "op8_ngram_join": op8_ngram_join,
         "op9_html_text": op9_html_text,
         "op10_secrets": op10_secrets,
     }
