@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quarry.llm import html_text, packing, quality, secrets, token_store
+from quarry.llm import decontaminate, html_text, packing, quality, secrets, token_store
 from quarry.llm.chat_collapse import collapse_and_render
 from quarry.llm.common import run_dir
 from quarry.llm.exact_dedup import ExactDedup
@@ -49,6 +49,29 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontaminate.contaminated(documents, benchmark).select("doc_id", "item_id", "start_word", "similarity")
+
+
+#: Every window that an item's shingle could start, without fingerprints; items have five words or more in these tables.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+     b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+     dw AS (SELECT doc_id, len(w) AS n, w, unnest(range(len(w) - 4)) AS pos FROM d WHERE len(w) >= 5),
+     ds AS (SELECT doc_id, n, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS g FROM dw),
+     bw AS (SELECT item_id, len(w) AS size, w, unnest(range(len(w) - 4)) AS off FROM b WHERE len(w) >= 5),
+     bs AS (SELECT item_id, size, off, array_to_string(w[off + 1 : off + 5], ' ') AS g FROM bw),
+     bc AS (SELECT item_id, size, g, count(*) AS c FROM bs GROUP BY ALL),
+     win AS (SELECT DISTINCT doc_id, item_id, size, least(size, n) AS long, greatest(0, least(pos - off, n - size)) AS start FROM ds JOIN bs USING (g)),
+     wc AS (SELECT doc_id, item_id, size, long, start, g, count(*) AS c FROM win JOIN ds USING (doc_id) WHERE pos BETWEEN start AND start + long - 5 GROUP BY ALL),
+     m AS (SELECT doc_id, item_id, start, any_value(size) - 4 + any_value(long) - 4 AS total, sum(least(wc.c, bc.c)) AS shared FROM wc JOIN bc USING (item_id, size, g) GROUP BY ALL),
+     s AS (SELECT doc_id, item_id, start, CAST(shared AS DOUBLE) / CAST(total - shared AS DOUBLE) AS similarity FROM m)
+SELECT doc_id, item_id, CAST(arg_min(start, (-similarity, start)) AS INTEGER) AS start_word, max(similarity) AS similarity
+FROM s WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""
+
+
 def tokenizer_file(name: str) -> str:
     """A public tokenizer's file, where the machine keeps it."""
     import public_tokenizers
@@ -87,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_chat_collapse": op2_chat_collapse,
+        "op3_decontaminate": op3_decontaminate,
         "op4_token_store": op4_token_store,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_packing": op7_packing,
@@ -97,4 +121,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_collapse": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op2_chat_collapse": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_exact_dedup": OP5_SQL}
