@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, html_text, packing, quality, secrets, token_store
+from quarry.llm import decontaminate, html_text, packing, quality, secrets, substring_dedup, token_store
 from quarry.llm.chat_collapse import collapse_and_render
 from quarry.llm.common import run_dir
 from quarry.llm.exact_dedup import ExactDedup
@@ -85,6 +85,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("word_bpe_49k.json"), end_id=1)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -113,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op4_token_store": op4_token_store,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_packing": op7_packing,
         "op8_ngram_join": op8_ngram_join,
         "op9_html_text": op9_html_text,
