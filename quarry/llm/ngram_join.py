@@ -88,8 +88,8 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for begin, texts in sliced(b["text"].to_pylist()):
-                sets = shingles(texts)
+            for begin, texts in sliced(b["text"]):
+                sets = shingles(texts.to_pylist())
                 full = [s for s in sets if len(s)]
                 hashes = bands_of(full).view(np.int64) if full else np.empty((0, BANDS), np.int64)
                 nodes = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) if len(s) else None for s in sets]

@@ -79,7 +79,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE) ->
         uid, coder = TaskContext.get().partitionId() << 36, encoder(tokenizer)
         for b in batches:
             doc_ids = b["doc_id"].to_pylist()
-            for begin, texts in sliced(b["text"].to_pylist()):
+            for begin, texts in sliced(b["text"]):
                 rows: list[list] = [[] for _ in range(7)]
                 for k, got in enumerate(coder.ids(texts), begin):
                     ids = np.concatenate([got, end]).astype("<u4")

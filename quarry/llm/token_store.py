@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from quarry.llm.common import text_of
 from quarry.llm.elias_fano import EliasFano
 from quarry.llm.words import encoder
 
-MAGIC, SHARD_IDS, SLICE_CHARS = b"QEF1", 4_000_000, 1_000_000
+MAGIC, SHARD_IDS, SLICE_CHARS = b"QEF1", 4_000_000, 3_000_000
 _HEAD = struct.Struct("<4sBxxxQQQ")  # magic, bytes an id, documents, of them without a doc_id, ids
 SCHEMA = "part int, shard int, base long, n_docs long, n_ids long, payload binary"
 
@@ -61,16 +62,15 @@ class Shard:
         return [*self.keys.all().tolist(), *[None] * self.n_null]
 
 
-def sliced(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about so many characters, and where each begins."""
-    begin, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield begin, texts[begin : k + 1]
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield begin, texts[begin:]
+def sliced(texts: pa.Array, chars: int = SLICE_CHARS) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about so many bytes, and where each begins."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + chars)))
+        yield begin, texts[begin:end]
+        begin = end
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2, shard_ids: int = SHARD_IDS) -> None:
@@ -90,7 +90,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int =
         end = np.array([end_id], np.uint32)
         for b in batches:
             ids = b["doc_id"].to_pylist()
-            for begin, texts in sliced(b["text"].to_pylist()):
+            for begin, texts in sliced(b["text"]):
                 for k, got in enumerate(coder.ids(texts), begin):
                     keys.append(ids[k])
                     runs += (got, end)

@@ -1,8 +1,9 @@
 """Tokenizing with a cache of word pieces, and flat arrays of many short ones.
 
-A byte-level or word-level BPE never merges over white space, so a text's ids are its chunks' ids in a row. Chunks
-repeat a lot: each is encoded once by the tokenizers library and its ids are reused within the Python worker. Cutting
-happens only where the tokenizer itself must cut; whatever is not plainly such a place stays in one chunk.
+A BPE of words never merges over the borders of its own pre-tokens, so a text's ids are its chunks' ids in a row.
+Chunks repeat a lot, and the words and marks that they consist of even more: each is encoded once by the tokenizers
+library, and its ids are reused within the Python worker. Cutting happens only where the tokenizer itself must cut;
+whatever is not plainly such a place stays in one piece.
 """
 
 from __future__ import annotations
@@ -10,19 +11,25 @@ from __future__ import annotations
 import os
 import re
 from functools import cache
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks in the cache of one worker; beyond it, new ones are encoded for their batch only.
-CACHED = 700_000
-_WHITE = re.compile(r"[\x20\x09-\x0D]+")
+#: Chunks, and units of them, in the caches of one worker; beyond that, new ones are kept for their batch only.
+CHUNKS, UNITS = 500_000, 1_000_000
+#: Letters whose lower case is one letter, and marks that are never part of a contraction.
+_L, _P = "[A-Za-zÀ-ÖØ-öø-ÿŒœŠšŸŽž]+", r"[!-&(-/:-@\[-`{-~]+"
+_PLAIN = re.compile(rf" ?{_L}(?:{_P})?(?:\n{_L}(?:{_P})?)*")
+_UNITS = re.compile(rf" ?{_L}|{_P}|\n")
+_SPACED_WORD, _WORD = re.compile(f" {_L}"), re.compile(_L)
+#: Texts with white space beside white space or at an end, or with unusual white space, are cut with more care.
+_ODD = r"^[ \t\n\r]|[ \t\n\r]\z|  | [\t\n\r]|[\t\n\r] |[\x00\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _BEFORE_SPACE = re.compile("(?<=[^\\s\u180e])(?= [^\\s\u180e])")
-_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿŒœŠšŸŽž]+"
-_SPACED_WORD, _WORD = re.compile(f" {_LETTERS}"), re.compile(_LETTERS)
-#: A word of letters whose lower case is one letter, then plain punctuation: a BPE cuts between them.
-_TAIL = re.compile(rf"( ?{_LETTERS})([!-&(-/:-@\[-`{{-~]+)")
+_WHITE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -32,6 +39,46 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
 
 
+class Table:
+    """Ids of strings, by place; those beyond the cache's size stay until the next forget()."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.place: dict[str, int] = {}
+        self.extra: dict[str, int] = {}
+        self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, keys: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        base, room = len(self.starts), max(0, self.size - len(self.place))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
+        self.place.update(zip(keys[:room], range(base, base + len(keys)), strict=False))
+        self.extra.update(zip(keys[room:], range(base + min(room, len(keys)), base + len(keys)), strict=True))
+
+    def forget(self) -> None:
+        if self.extra:
+            n = len(self.place)
+            self.extra = {}
+            self.starts, self.lengths = self.starts[:n].copy(), self.lengths[:n].copy()
+            self.flat = self.flat[: int(self.starts[-1] + self.lengths[-1])].copy() if n else self.flat[:0]
+
+    def places(self, keys: list[str], learn) -> np.ndarray:
+        """Where each is. learn(new keys) adds those that aren't there."""
+        at = np.array(list(map(self.place.get, keys, repeat(-1))), np.int64)
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            absent = [keys[k] for k in missing]
+            if new := list(dict.fromkeys(c for c in absent if c not in self.extra)):
+                learn(new)
+            at[missing] = [self.extra[c] if c in self.extra else self.place[c] for c in absent]
+        return at
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each place has."""
+        lengths = self.lengths[at]
+        return gathered(self.flat, self.starts[at], lengths), lengths
+
+
 class Encoder:
     """ids(texts) are what the tokenizer file gives for each text, special tokens neither added nor read."""
 
@@ -46,30 +93,23 @@ class Encoder:
         self.measure = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for name, i in vocabulary.items():
             self.measure[i] = len(name) if self.spaced else name.endswith("</w>")
-        self.place: dict[str, int] = {}
-        self.flat = np.empty(0, np.uint32)
-        self.starts = np.empty(0, np.int64)
-        self.lengths = np.empty(0, np.int64)
+        self.chunks, self.units = Table(CHUNKS), Table(UNITS)
 
-    def chunks(self, text: str) -> list[str]:
-        """Cut before single spaces between two other characters. The words of a tokenizer that drops white space don't have it."""
-        found = _BEFORE_SPACE.split(text) if self.spaced else _WHITE.split(text)
-        return found if all(found) else [c for c in found if c]
+    def cut(self, text: str) -> list[str]:
+        """Chunks of an odd text. One that is to be read without a space before it starts with a zero character, if spaces count."""
+        if not self.spaced:
+            return [c for c in _WHITE.split(text) if c]
+        return ["\0" + c for c in _BEFORE_SPACE.split(text)]
 
-    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Their ids in a row, and how many each has."""
+    def encode(self, units: list[str]) -> None:
+        """Words are joined and encoded many at a time, other units one by one."""
         alike = _SPACED_WORD if self.spaced else _WORD
-        joins = np.fromiter((alike.fullmatch(u) is not None for u in units), bool, len(units))
+        joins = [alike.fullmatch(u) is not None for u in units]
         words, rest = [u for u, j in zip(units, joins, strict=True) if j], [u for u, j in zip(units, joins, strict=True) if not j]
         groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        got = [e.ids for e in self.tokenizer.encode_batch([("" if self.spaced else " ").join(g) for g in groups] + rest, add_special_tokens=False)]
-        runs = [np.array(ids, np.uint32) for ids in got]
-        counts = [self.counts(g, r) for g, r in zip(groups, runs[: len(groups)], strict=True)]
-        lengths = np.concatenate([*counts, np.fromiter(map(len, got[len(groups) :]), np.int64, len(rest))]) if units else np.empty(0, np.int64)
-        flat = np.concatenate(runs) if runs else np.empty(0, np.uint32)
-        back = np.argsort(np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)]), kind="stable")
-        starts = np.cumsum(lengths) - lengths
-        return gathered(flat, starts[back], lengths[back]), lengths[back]
+        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([("" if self.spaced else " ").join(g) for g in groups] + rest, add_special_tokens=False)]
+        counts = [self.counts(g, r) for g, r in zip(groups, got[: len(groups)], strict=True)]
+        self.units.add(words + rest, np.concatenate(got), np.concatenate([*counts, np.array([len(r) for r in got[len(groups) :]], np.int64)]))
 
     def counts(self, words: list[str], ids: np.ndarray) -> np.ndarray:
         """How many of the ids of joined words each word has: by the bytes they stand for, or by the ids that end a word."""
@@ -80,50 +120,41 @@ class Encoder:
         return np.diff(ends, prepend=0)
 
     def learn(self, new: list[str]) -> None:
-        """Encode chunks that aren't in the cache; words and their punctuation apart."""
-        cut = [m.groups() if (m := _TAIL.fullmatch(c)) else (c,) for c in (new if self.spaced else (c.lower() if c.isascii() else c for c in new))]
-        unit: dict[str, int] = {}
-        for parts in cut:
-            for p in parts:
-                unit.setdefault(p, len(unit))
-        flat, lengths = self.encode(list(unit))
-        starts = np.cumsum(lengths) - lengths
-        one = np.fromiter((unit[p[0]] for p in cut), np.int64, len(cut))
-        two = np.fromiter((unit[p[1]] if len(p) > 1 else -1 for p in cut), np.int64, len(cut))
-        both = np.stack([one, np.maximum(two, 0)], axis=1)
-        n = np.stack([lengths[one], np.where(two >= 0, lengths[np.maximum(two, 0)], 0)], axis=1)
-        ids = gathered(flat, starts[both].ravel(), n.ravel())
-        sizes = n.sum(axis=1)
-        at = len(self.flat) + np.cumsum(sizes) - sizes
-        base = len(self.starts)
-        self.flat = np.concatenate([self.flat, ids])
-        self.starts = np.concatenate([self.starts, at])
-        self.lengths = np.concatenate([self.lengths, sizes])
-        self.place.update(zip(new, range(base, base + len(new)), strict=True))
-
-    def shrink(self) -> None:
-        """Back to the first CACHED chunks, which are the frequent ones."""
-        if len(self.starts) > CACHED:
-            self.place = dict(zip(list(self.place)[:CACHED], range(CACHED), strict=True))
-            self.starts, self.lengths = self.starts[:CACHED].copy(), self.lengths[:CACHED].copy()
-            self.flat = self.flat[: int(self.starts[-1] + self.lengths[-1])].copy()
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Chunks from their units: words, marks and single newlines, or the whole chunk if it isn't so plain."""
+        if self.spaced:
+            new_texts = [c[1:] if c[0] == "\0" else " " + c for c in new]
+        else:
+            new_texts = [c.lower() if c.isascii() else c for c in new]
+        units = [_UNITS.findall(c) if _PLAIN.fullmatch(c) else [c] for c in new_texts]
+        counts = np.array(list(map(len, units)), np.int64)
+        at = self.units.places([u for own in units for u in own], self.encode)
+        flat, lengths = self.units.ids(at)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
+        self.chunks.add(new, flat, np.diff(ends, prepend=0))
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        chunks = [self.chunks(t) for t in texts]
-        counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        flat = [c for own in chunks for c in own]
-        at = list(map(self.place.get, flat))
-        if new := list(dict.fromkeys(c for c, k in zip(flat, at, strict=True) if k is None)):
-            self.learn(new)
-            at = list(map(self.place.get, flat))
-        at = np.array(at, np.int64)
-        ids = gathered(self.flat, self.starts[at], self.lengths[at])
-        sums = np.concatenate([[0], np.cumsum(self.lengths[at])])
-        ends = np.cumsum(counts)
-        out = [ids[sums[e - n] : sums[e]] for e, n in zip(ends, counts, strict=True)]
-        self.shrink()
-        return out
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        plain = texts.filter(pa.array(~odd))
+        if self.spaced:
+            lists = pc.split_pattern(pc.binary_join_element_wise("\0", plain, ""), " ")
+        else:
+            lists = pc.ascii_split_whitespace(plain)
+        coded = lists.flatten().dictionary_encode()
+        strange = [self.cut(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        keys = coded.dictionary.to_pylist()
+        at = self.chunks.places(keys + [c for own in strange for c in own], self.learn)
+        at = np.concatenate([at[: len(keys)][coded.indices.to_numpy()], at[len(keys) :]])
+        ids, lengths = self.chunks.ids(at)
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        counts = np.concatenate([pc.list_value_length(lists).to_numpy(), np.array(list(map(len, strange)), np.int64)])
+        ends = sums[np.cumsum(counts, dtype=np.int64)].tolist()
+        self.chunks.forget()
+        self.units.forget()
+        found = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        back = np.empty(len(texts), np.int64)
+        back[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(texts))
+        return [found[k] for k in back]
 
 
 @cache
