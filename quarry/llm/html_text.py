@@ -87,14 +87,14 @@ class _Lines(HTMLParser):
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = 0
-        #: Open elements: (tag, never, main, region).
-        self.open: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+        #: Open elements: (tag, never content, in the article, region, whether its block is never content).
+        self.open: list[tuple[str, bool, bool, int, bool]] = [("", False, False, 0, False)]
         self.regions = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, never, main, region = self.open[-1]
+            _, _, main, region, never = self.open[-1]
             self.lines.append(Line(text, self.tags, never, main, region))
         self.parts, self.tags = [], 0
 
@@ -111,14 +111,12 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, never, main, region = self.open[-1]
+        _, never, main, region, block = self.open[-1]
         if tag in REGIONS:
             self.regions += 1
             region = self.regions
-        inner = is_marked(tag, attrs)
-        if inner and not never and tag not in BLOCKS:
-            self.end_line()
-        self.open.append((tag, never or inner, main or tag in MAIN or ("role", "main") in attrs, region))
+        never = never or is_marked(tag, attrs)
+        self.open.append((tag, never, main or tag in MAIN or ("role", "main") in attrs, region, never if tag in BLOCKS else block))
 
     def ended_by(self, tag: str) -> int:
         """How many elements stay open when an open p, li, ... ends because tag starts; 0: none ends."""
@@ -139,7 +137,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
-                if tag in BLOCKS or (self.open[k][1] and not self.open[k - 1][1]):
+                if tag in BLOCKS:
                     self.end_line()
                 self.close_to(k)
                 return
@@ -147,7 +145,9 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        _, never, _, _, block = self.open[-1]
+        if not never or block:  # else it is an inline script, button, advert, ... in a block of text
+            self.parts.append(data)
 
 
 def lines_of(html: str) -> list[Line]:
