@@ -1 +1 @@
-"""sources of the engine."""
+"""Sources: project files, the Apex lexer and parser, metadata formats."""
