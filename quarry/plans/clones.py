@@ -94,7 +94,7 @@ def occurrences(members: DataFrame, bodies: DataFrame, reached: DataFrame) -> Da
     then tests, the longest first; place 0 is the representative."""
     at = lambda name, k: F.element_at(name, F.col(k) + 1)
     rows = members.join(bodies.select("id", "path", "line", "column", "starts", "stops"), "id").join(reached.select("id", "reachability"), "id", "left")
-    rows = rows.select("kind", "family", "similarity", "id", "path", "line", "column", at("starts", "first").alias("start"), at("stops", "last").alias("end"), (F.col("last") - F.col("first") + 1).alias("tokens"), "reachability")
+    rows = rows.select("kind", "family", "similarity", "id", "path", "line", "column", "first", "last", at("starts", "first").alias("start"), at("stops", "last").alias("end"), (F.col("last") - F.col("first") + 1).alias("tokens"), "reachability")
     rank = F.when(F.col("reachability") == "production", 0).when(F.col("reachability") == "test-only", 2).otherwise(1)
     rows = rows.withColumn("chars", F.col("end") - F.col("start") + 1)
     w = Window.partitionBy("kind", "family").orderBy(rank, F.desc("chars"), "path", "line", "column", "start")
@@ -107,7 +107,7 @@ def groups(rows: DataFrame) -> DataFrame:
     joined = rows.join(top, ["kind", "family"])
     more = F.col("place") > 0
     extra = lambda own, first: F.sum(F.when(more, F.least(own, first)).otherwise(0)).cast("long")
-    each = F.array_sort(F.collect_list(F.struct("place", F.col("id").alias("symbolId"), "path", "line", "start", "end", "tokens", "chars"))).alias("occurrences")
+    each = F.array_sort(F.collect_list(F.struct("place", F.col("id").alias("symbolId"), "path", "line", "start", "end", "tokens", "chars", "first", "last"))).alias("occurrences")
     found = joined.groupBy("kind", "family").agg(F.round(F.avg("similarity"), 4).alias("similarity"), extra("tokens", "t").alias("duplicatedTokens"), extra("chars", "c").alias("duplicatedCharacters"), each)
     profile = F.when(F.col("kind") == "exact", "exact-token").when(F.col("kind") == "parameterized", "identifier-and-literal-parameterized").when(F.col("similarity") >= similarity.STRONG, "verified-near-miss-strong").otherwise("verified-near-miss-broad")
     own = F.concat_ws("-", "kind", F.lit(f"v{VERSION}"), F.when(F.length("family") == 8, F.col("family")).otherwise(F.substring(F.md5("family"), 1, 8)))
@@ -131,3 +131,19 @@ def differences(kind: str, sequences: list[list[str]]) -> list[str]:
             shown = list(dict.fromkeys(f"{a} <> {b}" for a, b in zip(first, other, strict=False) if a.lower() != b.lower()))[:12]
             out.append(f"Compared occurrence: {len(shown)} shown identifier/literal difference(s): {', '.join(shown) or 'none'}.")
     return out
+
+
+def token_places(files: DataFrame) -> DataFrame:
+    """path, starts: where each token of a file begins."""
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "starts": [[t.start for t in lex(text)[0]] for text in b["text"]]})
+
+    return files.select("path", "text").mapInPandas(placed, "path string, starts array<int>")
+
+
+def tokens_within(spans: DataFrame, places: DataFrame) -> DataFrame:
+    """tokens: how many tokens begin inside the spans (path, start, end, which don't overlap)."""
+    inside = F.size(F.filter("starts", lambda x: x.between(F.col("start"), F.col("end"))))
+    return spans.join(places, "path").agg(F.coalesce(F.sum(inside), F.lit(0)).alias("tokens"))

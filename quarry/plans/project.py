@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from quarry import __version__
 from quarry.functions import normalize_name
+from quarry.functions import kernels
 from quarry.operators import families as fam
-from quarry.operators import ordered
+from quarry.operators import ordered, similarity
 from quarry.plans import clones, flow, name_audit, provenance, reachability
 from quarry.plans.stages import run_dir, stored
 from quarry.sources import project as src
@@ -236,14 +237,19 @@ class Project:
         chars = lambda df: df.agg(F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0))).first()[0]
         spans = lambda df: int(chars(clones.covered(df)))
         coverage, repeated = spans(occurrences), spans(occurrences.where("place > 0"))
+        places = stored(clones.token_places(self.production), f"{self.path}/tokens")
+        tokens = places.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
+        within = [clones.tokens_within(clones.covered(df), places).first()[0] for df in (occurrences, occurrences.where("place > 0"))]
+        by_id = {r["id"]: r["texts"] for r in bodies.join(occurrences.select("id").distinct(), "id").select("id", "texts").collect()}
         blocked = [r[0] for r in self.production.where(F.size("facts.diagnostics") > 0).select("path").orderBy("path").collect()]
         gaps = rows(self._observed("dynamicQueryGaps").drop("at"))
         share = lambda part: flow.percent(part, production)
         duplicates = {
             "coverage": {"status": "blocked" if blocked else "complete", "blockedFiles": blocked, "testFilesExcluded": self.files.where("first_test").count()},
-            "cloneCoverageCharacters": coverage, "cloneCoverageCharacterPercent": share(coverage), "duplicatedCharacters": repeated, "duplicatedCharacterPercent": share(repeated),
-            "cloneGroups": rows(clones.groups(occurrences), F.desc("duplicatedCharacters"), "id"), "queryFamilies": rows(self.query_families(), F.desc("occurrences"), "id"),
+            "productionTokens": tokens, "cloneCoverageTokens": within[0], "cloneCoverageTokenPercent": flow.percent(within[0], tokens), "duplicatedTokens": within[1], "duplicatedTokenPercent": flow.percent(within[1], tokens), "cloneCoverageCharacters": coverage, "cloneCoverageCharacterPercent": share(coverage), "duplicatedCharacters": repeated, "duplicatedCharacterPercent": share(repeated),
+            "cloneGroups": [g | {"differences": clones.differences(g["kind"], [by_id[o["symbolId"]][o["first"] : o["last"] + 1] for o in g["occurrences"]])} for g in rows(clones.groups(occurrences), F.desc("duplicatedCharacters"), "id")], "queryFamilies": rows(self.query_families(), F.desc("occurrences"), "id"),
             "queryCoverage": {"status": "blocked" if gaps else "complete", "unresolvedDynamicQueries": gaps}, "dmlFamilies": rows(self.dml_families(), "at"),
+            "algorithm": {"minimumFragmentTokens": kernels.FRAGMENT, "minimumMethodTokens": clones.LEAST_TOKENS, "nearMissSimilarity": similarity.STRONG, "nearMissBroadSimilarity": similarity.BROAD, "nearMissBroadMinimumTokens": similarity.BROAD_TOKENS, "testCodeExcluded": True, "overlappingIntervalsDeduplicated": True},
         }
         a = self.audit.agg(n(~F.col("testCode")).alias("p"), n(F.col("testCode")).alias("t"), n(~F.col("testCode") & ~F.col("referencedByName")).alias("u"), F.sum(F.when(~F.col("referencedByName"), F.col("characters"))).alias("c")).first()
         lost = int(a["c"] or 0)
