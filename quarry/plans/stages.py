@@ -23,7 +23,7 @@ def run_dir(spark: SparkSession, name: str) -> str:
     """A new folder path for one run of an operator. It goes when the driver's Python ends."""
     path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
     if not _RUNS:
-        atexit.register(_clean)
+        atexit.register(clean)
     _RUNS[path] = spark
     return path
 
@@ -35,11 +35,13 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _clean() -> None:
-    for path, spark in _RUNS.items():
+def clean() -> None:
+    """Delete all stage tables of this process; call it before the session stops, or it happens when Python ends."""
+    for path, spark in list(_RUNS.items()):
         if spark.sparkContext._jsc is not None:
             try:
                 delete(spark, path)
+                del _RUNS[path]
             except Exception:  # noqa: BLE001  the JVM has gone first: nothing is left to delete with
                 return
 

@@ -16,4 +16,8 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+
+    from quarry.plans.stages import clean
+
+    clean()
     session.stop()
