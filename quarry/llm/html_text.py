@@ -36,7 +36,7 @@ REGIONS = frozenset("article main section div body td blockquote".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of a class or id that mark what is not the article.
 WORDS = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription sidebar widget widgets related recommended recommendations share sharing social menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer copyright comment comments commentlist disqus respond reply replies login signup register form search toolbar pagination pager skip hidden paywall".split()
+    "ad ads adbox adslot adunit adcontainer adsense announcement cta outbrain taboola sidenav topnav subnav topbar offcanvas dropdown commentbox commentform usercomments advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription sidebar widget widgets related recommended recommendations share sharing social menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer copyright comment comments commentlist disqus respond reply replies login signup register form search toolbar pagination pager skip hidden paywall".split()
 )
 NOT_A_MARK = frozenset(("has", "with", "no", "without"))
 #: Elements whose class says how the page is laid out, not what they hold.
