@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,9 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     types = dict(texts.dtypes)
     rows = texts.mapInArrow(vectors, f"doc_id {types['doc_id']}, label int, keys array<int>, values array<float>").dropDuplicates(["doc_id"])
     got = rows.toArrow().sort_by("doc_id")
-    sizes = np.array([len(k) for k in got["keys"]], np.int64)
-    flat = lambda name, kind: np.concatenate([np.empty(0, kind), *(np.asarray(v, kind) for v in got[name].to_pylist())])
-    return fit(np.repeat(np.arange(len(sizes)), sizes), flat("keys", np.int64), flat("values", np.float32), got["label"].to_numpy().astype(np.float64))
+    keys, values = (got[c].combine_chunks() for c in ("keys", "values"))  # flat arrays, never Python lists of their entries
+    sizes = pc.list_value_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)
+    labels_ = got["label"].to_numpy().astype(np.float64)
+    return fit(np.repeat(np.arange(len(sizes)), sizes), keys.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy(), labels_)
 
 
 def scored(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
