@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -45,16 +46,24 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 class Words:
     """The words of texts in one row, separated by single spaces."""
 
-    def __init__(self, texts: list[bytes]):
-        split = [t.split() for t in texts]
-        self.counts = np.array(list(map(len, split)), np.int64)
-        flat = [w for own in split for w in own]
-        known = {w: xxhash.xxh3_64_intdigest(w) for w in dict.fromkeys(flat)}
-        self.hashes = np.array(list(map(known.__getitem__, flat)), np.uint64)
-        self.ends = np.cumsum(np.array(list(map(len, flat)), np.int64) + 1)
-        self.buffer = b" ".join(flat) + b" "
-        self.docs = np.repeat(np.arange(len(split)), self.counts)
-        self.firsts = np.cumsum(self.counts) - self.counts
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(texts)
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        at, known = coded.indices.to_numpy(), coded.dictionary
+        sizes = pc.binary_length(known).to_numpy().astype(np.int64)
+        if len(known) and not sizes.all():  # white space at an end of a text makes an empty word there
+            full = sizes[at] > 0
+            counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[full], minlength=len(counts))
+            at = at[full]
+        self.counts, self.ids = counts, at
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known.cast(pa.binary()).to_pylist()), np.uint64, len(known))
+        self.hashes = hashes[at]
+        self.ends = np.cumsum(sizes[at] + 1)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), known.cast(pa.large_binary()).take(pa.array(at))), pa.scalar(b" ", pa.large_binary())) if len(at) else None
+        self.buffer = joined[0].as_py() + b" " if joined is not None else b""
+        self.docs = np.repeat(np.arange(len(counts)), counts)
+        self.firsts = np.cumsum(counts) - counts
 
     def text(self, first: int, last: int) -> bytes:
         """Words from first, before last."""
@@ -121,7 +130,7 @@ def packed(strings: list[bytes]) -> bytes:
 
 def repeats(strings: list[bytes], copies: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The string and the window in it of each window that occurs twice or more, given how often each string occurs."""
-    words = Words(strings)
+    words = Words(pa.array(strings, pa.binary()).cast(pa.string()))
     hashes = rolled(words.hashes, window)
     starts = np.flatnonzero(words.docs[: len(hashes)] == words.docs[window - 1 :]) if len(hashes) else np.empty(0, np.int64)
     own = hashes[starts]
@@ -134,9 +143,7 @@ def repeats(strings: list[bytes], copies: np.ndarray, window: int) -> tuple[np.n
     found = weight > 1  # the string itself occurs again
     maybe = order[same]
     if len(maybe):  # equal hashes: sorted by their words
-        ids = np.unique(words.hashes, return_inverse=True)[1]
-        texts = [words.text(int(s), int(s) + window) for s in starts[maybe]] if _collided(words) else None
-        rows = ids[starts[maybe][:, None] + np.arange(window)] if texts is None else np.unique(np.array(texts, object), return_inverse=True)[1][:, None]
+        rows = words.ids[starts[maybe][:, None] + np.arange(window)]
         ranks = np.lexsort(rows.T[::-1])
         lines = rows[ranks]
         equal = (lines[1:] == lines[:-1]).all(axis=1)
@@ -149,11 +156,6 @@ def repeats(strings: list[bytes], copies: np.ndarray, window: int) -> tuple[np.n
     return docs, starts[hit] - words.firsts[docs]
 
 
-def _collided(words: Words) -> bool:
-    """Whether two different words have the same hash."""
-    return len(set(words.buffer.split())) != len(np.unique(words.hashes))
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     """id is 0 for a null doc_id; their keys differ."""
     doc_id = F.col("doc_id").cast("long")
@@ -171,7 +173,7 @@ def hot_minimisers(docs: DataFrame, window: int, sample: int = SAMPLE) -> np.nda
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, texts in sliced(b["text"], BATCH):
-                _, _, route = super_kmers(Words(texts.cast(pa.binary()).to_pylist()), window, np.empty(0, np.uint64))
+                _, _, route = super_kmers(Words(texts), window, np.empty(0, np.uint64))
                 values, counts = np.unique(route, return_counts=True)
                 yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["minimiser", "n"])
 
@@ -192,7 +194,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for begin, texts in sliced(b["text"], BATCH):
-                words = Words(texts.cast(pa.binary()).to_pylist())
+                words = Words(texts)
                 first, n, route = super_kmers(words, window, hot.value)
                 to = (mixed(route) % buckets).astype(np.int64)
                 order = np.argsort(to, kind="stable")
