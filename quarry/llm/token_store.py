@@ -29,7 +29,7 @@ from quarry.llm.common import text_of
 from quarry.llm.elias_fano import EliasFano
 from quarry.llm.words import encoder
 
-MAGIC, SHARD_IDS, SLICE_CHARS = b"QEF1", 4_000_000, 3_000_000
+MAGIC, SHARD_IDS, SLICE_CHARS = b"QEF1", 4_000_000, 2_000_000
 _HEAD = struct.Struct("<4sBxxxQQQ")  # magic, bytes an id, documents, of them without a doc_id, ids
 SCHEMA = "part int, shard int, base long, n_docs long, n_ids long, payload binary"
 
