@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks, and units of them, in the caches of one worker; beyond that, new ones are kept for their batch only.
-CHUNKS, UNITS = 200_000, 400_000
+CHUNKS, UNITS = 300_000, 600_000
 #: Letters whose lower case is one letter, and marks that are never part of a contraction.
 _L, _P = "[A-Za-zÀ-ÖØ-öø-ÿŒœŠšŸŽž]+", r"[!-&(-/:-@\[-`{-~]+"
 _PLAIN = re.compile(rf" ?{_L}(?:{_P})?(?:\n{_L}(?:{_P})?)*")
