@@ -3,7 +3,8 @@
 Words are runs of letters and digits in lower case. A window has as many words as a benchmark item, or is the whole
 document if that is shorter. Each has a 64-bit SimHash of its words. Fingerprints are cut into RADIUS + 1 blocks, and
 items are indexed by the values of their blocks: two fingerprints that differ in at most RADIUS bits agree in a whole
-block, so looking each block up finds every item within the radius. What is found is verified exactly, by the
+block, so looking each block up finds every item within the radius. No radius is safe at 0.8, so windows beyond it of
+items that share enough shingles are verified as well: the fingerprints decide no row. Verification is exact, by the
 similarity of the five-word shingles weighted by their occurrences: the sum of the smaller weights by the sum of the
 larger ones.
 
@@ -90,17 +91,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hits.append(found.select("doc_id", "key", "item_id", "n_item", "n_shingles", "offset", start.alias("start")))
     enough = F.count_distinct("offset") * 5 >= F.first("n_shingles") * 4
     likely = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "key", "item_id", "n_item").agg(F.collect_set("start").alias("starts"), enough.alias("enough"))
-    likely = likely.where("enough").groupBy("doc_id", "key", "n_item").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-    likely = stored(likely.select(F.col("doc_id").alias("its_id"), F.col("key").alias("its_key"), "n_item", "starts"), f"{path}/likely")
+    likely = likely.where("enough").select(F.col("doc_id").alias("its_id"), F.col("key").alias("its_key"), "item_id", "n_item", "starts")
+    likely = stored(likely, f"{path}/likely")
 
-    met = texts.join(likely, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("key") == F.col("its_key")))
+    tried = likely.groupBy("its_id", "its_key", "n_item").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    met = texts.join(tried, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("key") == F.col("its_key")))
     windows = met.select("doc_id", "key", "n_item", "words", F.explode("starts").alias("start_word"))
     windows = windows.select("doc_id", "key", "n_item", "start_word", _hashed(F.slice("words", F.col("start_word") + 1, F.col("n_item"))).alias("hashes")).distinct()
     windows = stored(windows.withColumn("fingerprint", simhash(F.col("hashes"))), f"{path}/windows")
     asked = windows.select("doc_id", "key", "n_item", "start_word", "fingerprint", F.explode(blocks_of(F.col("fingerprint"))).alias("b")).select("*", "b.block", "b.value").drop("b")
     index = items.select("item_id", "n_item", "item_print", F.explode(blocks_of(F.col("item_print"))).alias("b")).select("*", "b.block", "b.value").drop("b")
     near = asked.join(index, ["n_item", "block", "value"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = near.select("doc_id", "key", "start_word", "n_item", "item_id").distinct()
+    far = likely.select(F.col("its_id").alias("doc_id"), F.col("its_key").alias("key"), F.explode("starts").alias("start_word"), "n_item", "item_id")
+    near = near.select("doc_id", "key", "start_word", "n_item", "item_id").unionByName(far).distinct()
     known = items.select(F.col("item_id").alias("its_item"), F.col("n_item").alias("its_n"), "size", "item_shingles").dropDuplicates(["its_item", "its_n"])
     same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")) & (F.col("start_word") == F.col("w_start")) & (F.col("n_item") == F.col("w_n"))
     cut = windows.select(F.col("doc_id").alias("w_id"), F.col("key").alias("w_key"), F.col("start_word").alias("w_start"), F.col("n_item").alias("w_n"), "hashes")

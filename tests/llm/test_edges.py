@@ -83,6 +83,18 @@ def test_decontaminate(spark, docs, none, prose):
     assert decontaminate.clean(docs, items.limit(0)).count() == docs.count()
 
 
+def made(rng, n):
+    return ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n)]
+
+
+def test_decontaminate_beyond_the_radius(spark):
+    rng = random.Random(11)
+    items = [(k, made(rng, 50)) for k in range(150)]
+    cut = spark.createDataFrame(rows(*((k, " ".join(w[:41])) for k, w in items)), SCHEMA)
+    got = decontaminate.contaminated(cut, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.similarity) for r in got} == {(k, k, 37 / 46) for k, _ in items}
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(5, 1), (5, 1), (3, 1), (9, 0), (8, 0), (20, 0), (None, 1), (11, None)], "doc_id long, quality int")
     got = quality.classify(docs, labels).collect()
