@@ -8,14 +8,15 @@ items that share enough shingles are verified as well: the fingerprints decide n
 similarity of the five-word shingles weighted by their occurrences: the sum of the smaller weights by the sum of the
 larger ones.
 
-Windows start where a shingle of the document that an item also has would be in that item's window. No window can be
-similar without sharing four in five of its shingles, so no other window needs a fingerprint; documents with fewer
-shared shingles of an item drop out before their windows are cut. All of it is DataFrame functions. The benchmark's
+Windows start where a shingle of the document that an item also has would be in that item's window (aligned), or so
+that such a shingle is the last in them. Any other window can move left to one of the latter without losing a shared
+shingle, so none is more similar. No window can be similar without sharing four in five of the item's shingles:
+documents with fewer drop out before their windows are cut, and windows with too few shared places are not cut. All of it is DataFrame functions. The benchmark's
 shingles are broadcast only if there are at most BROADCAST of them, counted first; else they are joined by shuffles.
 
 Defined results: null text has no words and matches nothing, as a document or as an item; an item of fewer than five
 words is one shingle; a null doc_id or item_id is reported as null; repeated rows give the pair once; of equally
-similar windows the first is reported; empty tables give an empty result; other columns are untouched, whatever their
+similar windows the first aligned one is reported, or the first if none is aligned; empty tables give an empty result; other columns are untouched, whatever their
 names.
 """
 
@@ -62,6 +63,7 @@ def similarity(one: Column, two: Column) -> Column:
     """Of two arrays of shingles, weighted by occurrence."""
     count = lambda all_, x: F.size(F.filter(all_, lambda y: y == x))
     both = F.aggregate(F.array_distinct(one), F.lit(0), lambda sum_, x: sum_ + F.least(count(one, x), count(two, x)))
+    both = F.when(F.size(F.array_distinct(one)) == F.size(one), F.size(F.array_intersect(one, two))).otherwise(both)
     return both / (F.size(one) + F.size(two) - both)
 
 
@@ -88,10 +90,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         at = hashed.select("doc_id", "key", F.size("hashes").alias("n_words"), F.posexplode(shingles_of(F.col("hashes"), size)).alias("pos", "shingle"))
         found = at.join(place.where(F.col("size") == size), "shingle")
         start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n_words") - F.col("n_item")))
-        hits.append(found.select("doc_id", "key", "item_id", "n_item", "n_shingles", "offset", start.alias("start")))
+        hits.append(found.select("doc_id", "key", "item_id", "n_item", "n_shingles", "offset", "pos", "n_words", start.alias("start")))
     enough = F.count_distinct("offset") * 5 >= F.first("n_shingles") * 4
-    likely = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "key", "item_id", "n_item").agg(F.collect_set("start").alias("starts"), enough.alias("enough"))
-    likely = likely.where("enough").select(F.col("doc_id").alias("its_id"), F.col("key").alias("its_key"), "item_id", "n_item", "starts")
+    likely = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "key", "item_id", "n_item").agg(
+        F.collect_set("start").alias("starts"), enough.alias("enough"), F.array_sort(F.collect_set("pos")).alias("places"), F.first("n_shingles").alias("n_shingles"), F.first("n_words").alias("n_words")
+    )
+    # both / (a + b - both) >= 0.8 of a and b shingles is 9 * both >= 4 * (a + b); both is at most the shared places in the window
+    least = F.ceil((F.least("n_shingles", F.col("n_words") - F.col("n_item") + F.col("n_shingles")) + F.col("n_shingles")) * 4 / 9).cast("int")
+    last = F.filter("places", lambda p, i: (i + 1 >= F.col("least")) & (F.get("places", i + 1 - F.col("least")) > p - F.col("n_shingles")))
+    likely = likely.where("enough").withColumn("least", least)
+    others = F.transform(last, lambda p: F.greatest(F.lit(0), p - F.col("n_shingles") + 1))
+    likely = likely.select(F.col("doc_id").alias("its_id"), F.col("key").alias("its_key"), "item_id", "n_item", F.col("starts").alias("aligned"), F.array_union("starts", others).alias("starts"))
     likely = stored(likely, f"{path}/likely")
 
     tried = likely.groupBy("its_id", "its_key", "n_item").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
@@ -102,16 +111,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     asked = windows.select("doc_id", "key", "n_item", "start_word", "fingerprint", F.explode(blocks_of(F.col("fingerprint"))).alias("b")).select("*", "b.block", "b.value").drop("b")
     index = items.select("item_id", "n_item", "item_print", F.explode(blocks_of(F.col("item_print"))).alias("b")).select("*", "b.block", "b.value").drop("b")
     near = asked.join(index, ["n_item", "block", "value"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    far = likely.select(F.col("its_id").alias("doc_id"), F.col("its_key").alias("key"), F.explode("starts").alias("start_word"), "n_item", "item_id")
-    near = near.select("doc_id", "key", "start_word", "n_item", "item_id").unionByName(far).distinct()
+    far = likely.select(F.col("its_id").alias("doc_id"), F.col("its_key").alias("key"), F.explode("starts").alias("start_word"), "n_item", "item_id", "aligned")
+    far = far.withColumn("aligned", F.array_contains("aligned", F.col("start_word")))
+    near = near.select("doc_id", "key", "start_word", "n_item", "item_id", F.lit(False).alias("aligned")).unionByName(far)
+    near = near.groupBy("doc_id", "key", "start_word", "n_item", "item_id").agg(F.max("aligned").alias("aligned"))
     known = items.select(F.col("item_id").alias("its_item"), F.col("n_item").alias("its_n"), "size", "item_shingles").dropDuplicates(["its_item", "its_n"])
     same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")) & (F.col("start_word") == F.col("w_start")) & (F.col("n_item") == F.col("w_n"))
     cut = windows.select(F.col("doc_id").alias("w_id"), F.col("key").alias("w_key"), F.col("start_word").alias("w_start"), F.col("n_item").alias("w_n"), "hashes")
     pairs = near.join(cut, same).join(known, F.col("item_id").eqNullSafe(F.col("its_item")) & (F.col("n_item") == F.col("its_n")))
     shingled = F.coalesce(*(F.when(F.col("size") == k, shingles_of(F.col("hashes"), k)) for k in range(1, WORDS + 1)))
-    verified = pairs.select("doc_id", "key", "item_id", "start_word", similarity(shingled, F.col("item_shingles")).alias("similarity")).where("similarity >= 0.8")
-    best = verified.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("similarity", -F.col("start_word"))).alias("best"))
-    return best.select("doc_id", "key", "item_id", (-F.col("best.col2")).alias("start_word"), F.col("best.similarity").alias("similarity"))
+    verified = pairs.select("doc_id", "key", "item_id", "start_word", "aligned", similarity(shingled, F.col("item_shingles")).alias("similarity")).where("similarity >= 0.8")
+    best = verified.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("start_word")).alias("back"))).alias("best"))
+    return best.select("doc_id", "key", "item_id", (-F.col("best.back")).alias("start_word"), F.col("best.similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -95,6 +95,30 @@ def test_decontaminate_beyond_the_radius(spark):
     assert {(r.doc_id, r.item_id, r.similarity) for r in got} == {(k, k, 37 / 46) for k, _ in items}
 
 
+def test_decontaminate_every_start(spark):
+    """Words changed at the ends and put in between: against brute force over all starts."""
+    rng = random.Random(12)
+    items, data = [], []
+    for k in range(30):
+        w, n = made(rng, rng.randint(50, 70)), rng.randint(1, 2)
+        mid = len(w) // 2 + rng.randint(-3, 3)
+        copy = [*made(rng, 1), *w[1:mid], *made(rng, n), *w[mid:-1], *made(rng, 1)]
+        around = [made(rng, 40), made(rng, rng.choice((0, 40)))] if k % 5 else [[], []]
+        items.append((k, " ".join(w)))
+        data.append((k, " ".join([*around[0], *copy, *around[1], *(copy if k % 7 == 0 else [])])))
+    grams = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for (k, d), (_, i) in zip(data, items, strict=True):
+        w, i = d.split(), i.split()
+        for s in range(max(1, len(w) - len(i) + 1)):
+            one, two = grams(w[s : s + len(i)]), grams(i)
+            both = sum((one & two).values())
+            want[k] = max(want.get(k, 0), both / (sum(one.values()) + sum(two.values()) - both))
+    want = {k: s for k, s in want.items() if s >= 0.8}
+    got = decontaminate.contaminated(spark.createDataFrame(rows(*data), SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 5 and {r.doc_id: r.similarity for r in got if r.doc_id == r.item_id} == want and len(got) == len(want)
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(5, 1), (5, 1), (3, 1), (9, 0), (8, 0), (20, 0), (None, 1), (11, None)], "doc_id long, quality int")
     got = quality.classify(docs, labels).collect()
