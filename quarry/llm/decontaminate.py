@@ -15,9 +15,10 @@ documents with fewer drop out before their windows are cut, and windows with too
 shingles are broadcast only if there are at most BROADCAST of them, counted first; else they are joined by shuffles.
 
 Defined results: null text has no words and matches nothing, as a document or as an item; an item of fewer than five
-words is one shingle; a null doc_id or item_id is reported as null; repeated rows give the pair once; of equally
-similar windows the first aligned one is reported, or the first if none is aligned; empty tables give an empty result; other columns are untouched, whatever their
-names.
+words is one shingle; a null doc_id or item_id is reported as null; repeated rows give the pair once;
+different texts of one item_id are each looked for, and the best window of any is reported; of equally similar windows
+the first aligned one is reported, or the first if none is aligned; empty tables give an empty result; other columns
+are untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -74,12 +75,12 @@ def _hashed(words: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, key (see row_key), item_id, start_word, similarity: the best window of each document and item, at 0.8 or more."""
     path = run_dir(docs.sparkSession, "decontaminate")
-    items = benchmark.select("item_id", _hashed(words_of()).alias("item_words")).where(F.size("item_words") > 0)
-    items = items.withColumn("n_item", F.size("item_words")).withColumn("size", F.least(F.lit(WORDS), "n_item"))
+    items = benchmark.select("item_id", _hashed(words_of()).alias("item_words")).where(F.size("item_words") > 0).dropDuplicates(["item_id", "item_words"])
+    items = items.withColumn("item_key", F.xxhash64("item_words")).withColumn("n_item", F.size("item_words")).withColumn("size", F.least(F.lit(WORDS), "n_item"))
     shingled = F.coalesce(*(F.when(F.col("size") == k, shingles_of(F.col("item_words"), k)) for k in range(1, WORDS + 1)))
     items = stored(items.withColumn("item_shingles", shingled).withColumn("item_print", simhash(F.col("item_words"))), f"{path}/items")
     about = items.groupBy("size").agg(F.sum(F.size("item_shingles")).alias("n")).collect()  # at most WORDS rows
-    place = items.select("item_id", "n_item", "size", F.size("item_shingles").alias("n_shingles"), F.posexplode("item_shingles").alias("offset", "shingle"))
+    place = items.select("item_id", "item_key", "n_item", "size", F.size("item_shingles").alias("n_shingles"), F.posexplode("item_shingles").alias("offset", "shingle"))
     if sum(r["n"] for r in about) <= BROADCAST:
         place = F.broadcast(place)
 
@@ -90,9 +91,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         at = hashed.select("doc_id", "key", F.size("hashes").alias("n_words"), F.posexplode(shingles_of(F.col("hashes"), size)).alias("pos", "shingle"))
         found = at.join(place.where(F.col("size") == size), "shingle")
         start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n_words") - F.col("n_item")))
-        hits.append(found.select("doc_id", "key", "item_id", "n_item", "n_shingles", "offset", "pos", "n_words", start.alias("start")))
+        hits.append(found.select("doc_id", "key", "item_id", "item_key", "n_item", "n_shingles", "offset", "pos", "n_words", start.alias("start")))
     enough = F.count_distinct("offset") * 5 >= F.first("n_shingles") * 4
-    likely = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "key", "item_id", "n_item").agg(
+    likely = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "key", "item_id", "item_key", "n_item").agg(
         F.collect_set("start").alias("starts"), enough.alias("enough"), F.array_sort(F.collect_set("pos")).alias("places"), F.first("n_shingles").alias("n_shingles"), F.first("n_words").alias("n_words")
     )
     # both / (a + b - both) >= 0.8 of a and b shingles is 9 * both >= 4 * (a + b); both is at most the shared places in the window
@@ -100,7 +101,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     last = F.filter("places", lambda p, i: (i + 1 >= F.col("least")) & (F.get("places", i + 1 - F.col("least")) > p - F.col("n_shingles")))
     likely = likely.where("enough").withColumn("least", least)
     others = F.transform(last, lambda p: F.greatest(F.lit(0), p - F.col("n_shingles") + 1))
-    likely = likely.select(F.col("doc_id").alias("its_id"), F.col("key").alias("its_key"), "item_id", "n_item", F.col("starts").alias("aligned"), F.array_union("starts", others).alias("starts"))
+    likely = likely.select(F.col("doc_id").alias("its_id"), F.col("key").alias("its_key"), "item_id", "item_key", "n_item", F.col("starts").alias("aligned"), F.array_union("starts", others).alias("starts"))
     likely = stored(likely, f"{path}/likely")
 
     tried = likely.groupBy("its_id", "its_key", "n_item").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
@@ -109,16 +110,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = windows.select("doc_id", "key", "n_item", "start_word", _hashed(F.slice("words", F.col("start_word") + 1, F.col("n_item"))).alias("hashes")).distinct()
     windows = stored(windows.withColumn("fingerprint", simhash(F.col("hashes"))), f"{path}/windows")
     asked = windows.select("doc_id", "key", "n_item", "start_word", "fingerprint", F.explode(blocks_of(F.col("fingerprint"))).alias("b")).select("*", "b.block", "b.value").drop("b")
-    index = items.select("item_id", "n_item", "item_print", F.explode(blocks_of(F.col("item_print"))).alias("b")).select("*", "b.block", "b.value").drop("b")
+    index = items.select("item_id", "item_key", "n_item", "item_print", F.explode(blocks_of(F.col("item_print"))).alias("b")).select("*", "b.block", "b.value").drop("b")
     near = asked.join(index, ["n_item", "block", "value"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    far = likely.select(F.col("its_id").alias("doc_id"), F.col("its_key").alias("key"), F.explode("starts").alias("start_word"), "n_item", "item_id", "aligned")
+    far = likely.select(F.col("its_id").alias("doc_id"), F.col("its_key").alias("key"), F.explode("starts").alias("start_word"), "n_item", "item_id", "item_key", "aligned")
     far = far.withColumn("aligned", F.array_contains("aligned", F.col("start_word")))
-    near = near.select("doc_id", "key", "start_word", "n_item", "item_id", F.lit(False).alias("aligned")).unionByName(far)
-    near = near.groupBy("doc_id", "key", "start_word", "n_item", "item_id").agg(F.max("aligned").alias("aligned"))
-    known = items.select(F.col("item_id").alias("its_item"), F.col("n_item").alias("its_n"), "size", "item_shingles").dropDuplicates(["its_item", "its_n"])
+    near = near.select("doc_id", "key", "start_word", "n_item", "item_id", "item_key", F.lit(False).alias("aligned")).unionByName(far)
+    near = near.groupBy("doc_id", "key", "start_word", "n_item", "item_id", "item_key").agg(F.max("aligned").alias("aligned"))
+    known = items.select(F.col("item_id").alias("its_item"), F.col("item_key").alias("its_words"), "size", "item_shingles")
     same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")) & (F.col("start_word") == F.col("w_start")) & (F.col("n_item") == F.col("w_n"))
     cut = windows.select(F.col("doc_id").alias("w_id"), F.col("key").alias("w_key"), F.col("start_word").alias("w_start"), F.col("n_item").alias("w_n"), "hashes")
-    pairs = near.join(cut, same).join(known, F.col("item_id").eqNullSafe(F.col("its_item")) & (F.col("n_item") == F.col("its_n")))
+    pairs = near.join(cut, same).join(known, F.col("item_id").eqNullSafe(F.col("its_item")) & (F.col("item_key") == F.col("its_words")))
     shingled = F.coalesce(*(F.when(F.col("size") == k, shingles_of(F.col("hashes"), k)) for k in range(1, WORDS + 1)))
     verified = pairs.select("doc_id", "key", "item_id", "start_word", "aligned", similarity(shingled, F.col("item_shingles")).alias("similarity")).where("similarity >= 0.8")
     best = verified.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("start_word")).alias("back"))).alias("best"))

@@ -119,6 +119,16 @@ def test_decontaminate_every_start(spark):
     assert len(want) > 5 and {r.doc_id: r.similarity for r in got if r.doc_id == r.item_id} == want and len(got) == len(want)
 
 
+def test_decontaminate_texts_of_one_id(spark):
+    rng = random.Random(13)
+    texts = [" ".join(made(rng, 30)) for _ in range(4)]
+    items = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3])], "item_id long, text string")
+    found = spark.createDataFrame(rows(*enumerate(texts)), SCHEMA)
+    got = [(r.doc_id, r.item_id, r.similarity) for r in decontaminate.contaminated(found, items).collect()]
+    assert sorted(got, key=lambda r: r[0]) == [(0, None, 1.0), (1, None, 1.0), (2, 7, 1.0), (3, 7, 1.0)]
+    assert decontaminate.clean(found, items).count() == 0
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(5, 1), (5, 1), (3, 1), (9, 0), (8, 0), (20, 0), (None, 1), (11, None)], "doc_id long, quality int")
     got = quality.classify(docs, labels).collect()
