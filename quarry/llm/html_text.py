@@ -5,9 +5,9 @@ is one line with its text length and the number of tags in it; its ratio is text
 are never content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments: told by
 element, role, or words of class and id) have ratio 0; lines inside <article> or <main> weigh more. Ratios are
 smoothed along the page with a Gaussian kernel, and lines above the threshold (the smoothed ratios' standard
-deviation) form clusters. A region, that is the sectioning element around a line, is content if it has a line in a
-cluster; all of its lines are then kept, short ones too. If the page has an <article> or <main>, only lines in it can
-be content.
+deviation) form clusters. A region, that is the outermost sectioning element below <body> around a line, is content if
+it has a line in a cluster; all of its lines are then kept, short ones too, and so are lines between the page's first
+and last cluster. If the page has an <article> or <main>, only lines in it can be content, and all of them are.
 
 Defined results: null, empty or text-free html gives an empty text; entities are decoded; white space inside a block
 becomes one space; blocks are joined by two newlines; broken markup is read as the parser recovers it; repeated rows
@@ -33,6 +33,8 @@ BLOCKS = frozenset(
 NEVER = frozenset("head title nav header footer aside form script style noscript template svg iframe object button select textarea dialog menu canvas audio video map math".split())
 MAIN = frozenset(("article", "main"))
 REGIONS = frozenset("article main section div body td blockquote".split())
+#: The outermost of these is the region of all that is in it; the rest of the page is one.
+OUTER = frozenset("article main section div".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of a class or id that mark what is not the article.
 WORDS = frozenset(
@@ -112,7 +114,7 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         _, never, main, region, block = self.open[-1]
-        if tag in REGIONS:
+        if tag in OUTER and not region:
             self.regions += 1
             region = self.regions
         never = never or is_marked(tag, attrs)
@@ -182,10 +184,11 @@ def main_text(html: str) -> str:
     soft = smoothed(ratios)
     mean = sum(soft) / len(soft)
     threshold = min(math.sqrt(sum((s - mean) ** 2 for s in soft) / len(soft)), max(s for s, r in zip(soft, ratios, strict=True) if r))
-    # the article is one content region, whatever its inner sections; elsewhere each sectioning element is one
+    # the article is one content region, whatever its inner sections
     region = lambda x: -1 if has_main else x.region
-    content = {region(x) for x, s, r in zip(lines, soft, ratios, strict=True) if r and s >= threshold}
-    return "\n\n".join(x.text for x, r in zip(lines, ratios, strict=True) if r and region(x) in content)
+    clustered = [i for i, (s, r) in enumerate(zip(soft, ratios, strict=True)) if r and s >= threshold]
+    content = {region(lines[i]) for i in clustered}
+    return "\n\n".join(x.text for i, (x, r) in enumerate(zip(lines, ratios, strict=True)) if r and (region(x) in content or clustered[0] <= i <= clustered[-1]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -245,6 +245,17 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_without_article():
+    long = "A long paragraph of an article that no element marks. " * 12
+    cells = "".join(f"<tr><td>k{i}</td><td>{i}</td></tr>" for i in range(9))
+    inner = f"<div><p>{long}</p></div><div><p>Short one.</p></div><div><table>{cells}</table></div><blockquote>So it goes.</blockquote><div><p>Brief.</p></div><div><p>{long}</p></div>"
+    want = [long.strip(), "Short one.", *(x for i in range(9) for x in (f"k{i}", str(i))), "So it goes.", "Brief.", long.strip()]
+    for page in (f"<body>{inner}</body>", f"<body><div class=menu>a b</div><div>{inner}</div><div class=footer>f</div></body>"):
+        assert html_text.main_text(page).split("\n\n") == want
+    tail = f"<body><p>{long}</p><p>Then.</p><table>{cells}</table><blockquote>The end.</blockquote></body>"
+    assert html_text.main_text(tail).split("\n\n") == [long.strip(), "Then.", *want[2:20], "The end."]
+
+
 def test_sha_of_secrets_digest(spark, docs, tmp_path):
     from pyspark.sql import functions as F
 
