@@ -91,7 +91,7 @@ class BlobLedger:
         todo = blobs.join(known, "sha", "left").select("sha", "one_id", F.array_except(asked, F.coalesce("known", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
         texts = docs.select("doc_id", F.unhex(F.sha2(text_of(), 256)).alias("blob"), text_of().alias("text"))
         unseen = texts.join(todo, (F.col("blob") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("one_id"))).select("sha", "rules", "text")
-        by_key = {r.key: r for r in rules}
+        by_key = {r.key: r._replace(name=r.key) for r in rules}  # spans in the ledger are of a rule version
 
         def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -101,7 +101,12 @@ class BlobLedger:
         unseen.mapInPandas(scanned, f"sha binary, rules array<string>, spans {SPANS}").write.parquet(f"{self.path}/run-{len(self.runs()):06d}-{work[-8:]}")
         wanted = F.array(*(F.lit(r.key) for r in rules))
         present = self.rows().where(F.arrays_overlap("rules", wanted))
-        found = present.where(F.size("spans") > 0).groupBy("sha").agg(F.array_distinct(F.flatten(F.collect_list(F.struct("rules", "spans")["spans"]))).alias("spans"))
+        # older ledgers have names without versions; the row's rules tell which version it was
+        asks = F.array_intersect("rules", wanted)
+        of = lambda s: F.array_contains(asks, s["rule"]) | F.exists(asks, lambda k: F.substring_index(k, "@", 1) == s["rule"])
+        named = lambda s: F.struct(F.substring_index(s["rule"], "@", 1).alias("rule"), s["start"].alias("start"), s["end"].alias("end"))
+        present = present.select("sha", F.transform(F.filter("spans", of), named).alias("spans"))
+        found = present.where(F.size("spans") > 0).groupBy("sha").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
         return versions.join(found, "sha", "left").select("doc_id", "sha", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 

@@ -216,6 +216,18 @@ def test_ledger_scans_a_pair_once(spark, docs, tmp_path):
     assert {tuple(r.rules) for r in ledger.rows().collect()} == {tuple(r.key for r in secrets.RULES), ("hex@2",)}
 
 
+def test_ledger_after_a_version_change(spark, tmp_path):
+    docs = spark.createDataFrame(rows((1, "0f" * 12 + " AKIA" + "A1" * 10)), SCHEMA)
+    ledger = secrets.BlobLedger(spark, f"{tmp_path}/ledger")
+    kinds = lambda rules: sorted((s.rule, s.start, s.end) for s in ledger.scan(docs, rules).first().spans)
+    access, hexes = ("access", 25, 49), ("hex", 0, 24)
+    assert kinds(secrets.RULES) == [access, hexes]
+    newer = tuple(r._replace(version=2, least=40) if r.name == "hex" else r for r in secrets.RULES)
+    assert kinds(newer) == [access]
+    assert kinds(tuple(r for r in secrets.RULES if r.name != "access")) == [hexes]
+    assert kinds(secrets.RULES) == [access, hexes]
+
+
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, chunk int, h1 string"
     turns = [("user", "a"), ("bot", "b"), ("user", None), (None, "d")]
