@@ -292,7 +292,7 @@ def unreachable_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH e AS (SELECT DISTINCT o_custkey AS path, l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 49), n AS (SELECT node, count(DISTINCT path) AS paths FROM e GROUP BY node)
 SELECT path, node FROM e JOIN n USING (node) WHERE paths = 1 AND node % 7 <> 0""")
 def exclusive_to_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that only one customer's orders lead to; every seventh part is an entry of its own."""
+    """Parts that only one customer's orders lead to by lines of 49 pieces or more; every seventh part is an entry of its own."""
     lines, orders = table(spark, sf_dir, "lineitem").where("l_quantity >= 49"), table(spark, sf_dir, "orders")
     edges = lines.select(F.col("l_orderkey").alias("source"), (-F.col("l_partkey") - 1).alias("target")).distinct()
     on_path = orders.select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("node"))
@@ -399,6 +399,7 @@ WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineite
      r AS (SELECT u AS node, u AS top FROM b UNION SELECT b.v, r.top FROM r JOIN b ON b.u = r.node)
 SELECT node, min(top) AS component FROM r GROUP BY node""")
 def supplier_part_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts that hang together by lines of 50 pieces or more at over 8 % discount."""
     lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount > 0.08")
     return connected_components(lines.select(_id("s", "l_suppkey").alias("u"), _id("p", "l_partkey").alias("v")))
 
