@@ -14,9 +14,14 @@ _RUNS: dict[str, object] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Where the session has none (tests, a laptop) a local folder is used; a cluster must set one.
+    Where a local session has none (tests, a laptop) a local folder is used; on a cluster that is an error, because its
+    executors would each write to a disk of their own.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{getpass.getuser()}").rstrip("/")
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file:///tmp/checkpoints/{getpass.getuser()}"
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
