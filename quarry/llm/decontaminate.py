@@ -3,8 +3,9 @@
 Words are runs of letters and digits in lower case. A window has as many words as a benchmark item, or is the whole
 document if that is shorter. Each has a 64-bit SimHash of its words. Fingerprints are cut into RADIUS + 1 blocks, and
 items are indexed by the values of their blocks: two fingerprints that differ in at most RADIUS bits agree in a whole
-block, so looking each block up finds every item within the radius. No radius is safe at 0.8, so windows beyond it of
-items that share enough shingles are verified as well: the fingerprints decide no row. Verification is exact, by the
+block, so looking each block up finds every item within the radius. A document looks up its own items only (those that
+share enough shingles with it; see below), so that no block is a hot key of all windows. No radius is safe at 0.8, so
+windows beyond it of those items are verified as well: the fingerprints decide no row. Verification is exact, by the
 similarity of the five-word shingles weighted by their occurrences: the sum of the smaller weights by the sum of the
 larger ones.
 
@@ -73,7 +74,8 @@ def _hashed(words: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, key (see row_key), item_id, start_word, similarity: the best window of each document and item, at 0.8 or more."""
+    """doc_id, key (see row_key), item_id, start_word, similarity, near (whether the index found it): the best window of
+    each document and item, at 0.8 or more."""
     path = run_dir(docs.sparkSession, "decontaminate")
     items = benchmark.select("item_id", _hashed(words_of()).alias("item_words")).where(F.size("item_words") > 0).dropDuplicates(["item_id", "item_words"])
     items = items.withColumn("item_key", F.xxhash64("item_words")).withColumn("n_item", F.size("item_words")).withColumn("size", F.least(F.lit(WORDS), "n_item"))
@@ -110,20 +112,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = windows.select("doc_id", "key", "n_item", "start_word", _hashed(F.slice("words", F.col("start_word") + 1, F.col("n_item"))).alias("hashes")).distinct()
     windows = stored(windows.withColumn("fingerprint", simhash(F.col("hashes"))), f"{path}/windows")
     asked = windows.select("doc_id", "key", "n_item", "start_word", "fingerprint", F.explode(blocks_of(F.col("fingerprint"))).alias("b")).select("*", "b.block", "b.value").drop("b")
-    index = items.select("item_id", "item_key", "n_item", "item_print", F.explode(blocks_of(F.col("item_print"))).alias("b")).select("*", "b.block", "b.value").drop("b")
-    near = asked.join(index, ["n_item", "block", "value"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    prints = items.select(F.col("item_id").alias("its_item"), F.col("item_key").alias("its_words"), "item_print")
+    own = likely.drop("starts").join(prints, F.col("item_id").eqNullSafe(F.col("its_item")) & (F.col("item_key") == F.col("its_words")))
+    index = own.select("its_id", "its_key", "item_id", "item_key", F.col("n_item").alias("of_size"), "aligned", "item_print", F.explode(blocks_of(F.col("item_print"))).alias("b")).select("*", F.col("b.block").alias("of_block"), F.col("b.value").alias("of_value")).drop("b")
+    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("key") == F.col("its_key")) & (F.col("n_item") == F.col("of_size")) & (F.col("block") == F.col("of_block")) & (F.col("value") == F.col("of_value"))
+    near = asked.join(index, same).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    near = near.withColumn("aligned", F.array_contains("aligned", F.col("start_word")))
     far = likely.select(F.col("its_id").alias("doc_id"), F.col("its_key").alias("key"), F.explode("starts").alias("start_word"), "n_item", "item_id", "item_key", "aligned")
     far = far.withColumn("aligned", F.array_contains("aligned", F.col("start_word")))
-    near = near.select("doc_id", "key", "start_word", "n_item", "item_id", "item_key", F.lit(False).alias("aligned")).unionByName(far)
-    near = near.groupBy("doc_id", "key", "start_word", "n_item", "item_id", "item_key").agg(F.max("aligned").alias("aligned"))
+    near = near.select("doc_id", "key", "start_word", "n_item", "item_id", "item_key", "aligned", F.lit(True).alias("near")).unionByName(far.withColumn("near", F.lit(False)))
+    near = near.groupBy("doc_id", "key", "start_word", "n_item", "item_id", "item_key").agg(F.max("aligned").alias("aligned"), F.max("near").alias("near"))
     known = items.select(F.col("item_id").alias("its_item"), F.col("item_key").alias("its_words"), "size", "item_shingles")
     same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")) & (F.col("start_word") == F.col("w_start")) & (F.col("n_item") == F.col("w_n"))
     cut = windows.select(F.col("doc_id").alias("w_id"), F.col("key").alias("w_key"), F.col("start_word").alias("w_start"), F.col("n_item").alias("w_n"), "hashes")
     pairs = near.join(cut, same).join(known, F.col("item_id").eqNullSafe(F.col("its_item")) & (F.col("item_key") == F.col("its_words")))
     shingled = F.coalesce(*(F.when(F.col("size") == k, shingles_of(F.col("hashes"), k)) for k in range(1, WORDS + 1)))
-    verified = pairs.select("doc_id", "key", "item_id", "start_word", "aligned", similarity(shingled, F.col("item_shingles")).alias("similarity")).where("similarity >= 0.8")
-    best = verified.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("start_word")).alias("back"))).alias("best"))
-    return best.select("doc_id", "key", "item_id", (-F.col("best.back")).alias("start_word"), F.col("best.similarity").alias("similarity"))
+    verified = pairs.select("doc_id", "key", "item_id", "start_word", "aligned", "near", similarity(shingled, F.col("item_shingles")).alias("similarity")).where("similarity >= 0.8")
+    best = verified.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("start_word")).alias("back"), "near")).alias("best"))
+    return best.select("doc_id", "key", "item_id", (-F.col("best.back")).alias("start_word"), F.col("best.similarity").alias("similarity"), F.col("best.near").alias("near"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
