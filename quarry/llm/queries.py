@@ -54,7 +54,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents, benchmark).select("doc_id", "item_id", "start_word", "similarity")
 
 
-#: Every window that an item's shingle could start, without fingerprints; items have five words or more in these tables.
+#: Every window of each document that shares a shingle with an item, without fingerprints; of equally similar ones those
+#: first that a shared shingle's place in the item gives. Items have five words or more in these tables.
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
      b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
@@ -63,11 +64,13 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text,
      bw AS (SELECT item_id, len(w) AS size, w, unnest(range(len(w) - 4)) AS off FROM b WHERE len(w) >= 5),
      bs AS (SELECT item_id, size, off, array_to_string(w[off + 1 : off + 5], ' ') AS g FROM bw),
      bc AS (SELECT item_id, size, g, count(*) AS c FROM bs GROUP BY ALL),
-     win AS (SELECT DISTINCT doc_id, item_id, size, least(size, n) AS long, greatest(0, least(pos - off, n - size)) AS start FROM ds JOIN bs USING (g)),
+     hit AS (SELECT DISTINCT doc_id, item_id, size, n, greatest(0, least(pos - off, n - size)) AS start FROM ds JOIN bs USING (g)),
+     met AS (SELECT DISTINCT doc_id, item_id, size, n, least(size, n) AS long FROM hit),
+     win AS (SELECT doc_id, item_id, size, long, unnest(range(greatest(0, n - size) + 1)) AS start FROM met),
      wc AS (SELECT doc_id, item_id, size, long, start, g, count(*) AS c FROM win JOIN ds USING (doc_id) WHERE pos BETWEEN start AND start + long - 5 GROUP BY ALL),
      m AS (SELECT doc_id, item_id, start, any_value(size) - 4 + any_value(long) - 4 AS total, sum(least(wc.c, bc.c)) AS shared FROM wc JOIN bc USING (item_id, size, g) GROUP BY ALL),
-     s AS (SELECT doc_id, item_id, start, CAST(shared AS DOUBLE) / CAST(total - shared AS DOUBLE) AS similarity FROM m)
-SELECT doc_id, item_id, CAST(arg_min(start, (-similarity, start)) AS INTEGER) AS start_word, max(similarity) AS similarity
+     s AS (SELECT doc_id, item_id, start, hit.start IS NULL AS shifted, CAST(shared AS DOUBLE) / CAST(total - shared AS DOUBLE) AS similarity FROM m LEFT JOIN hit USING (doc_id, item_id, start))
+SELECT doc_id, item_id, CAST(arg_min(start, (-similarity, shifted, start)) AS INTEGER) AS start_word, max(similarity) AS similarity
 FROM s WHERE similarity >= 0.8 GROUP BY doc_id, item_id
 """
 
