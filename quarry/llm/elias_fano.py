@@ -77,13 +77,21 @@ class EliasFano:
             low |= (int(self.low[at // 8]) >> (at % 8) & 1) << k
         return self.base + ((self.select(i) - i) << self.low_bits | low)
 
-    def all(self) -> np.ndarray:
-        """Every number, int64."""
-        if not self.n:
+    def between(self, i: int, j: int) -> np.ndarray:
+        """The numbers from the i-th, before the j-th, int64: selects find where their high parts begin and end."""
+        n = j - i
+        if n <= 0:
             return np.empty(0, np.int64)
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little")).astype(np.uint64) - np.arange(self.n, dtype=np.uint64)
-        x = high << np.uint64(self.low_bits)
+        byte, end = self.select(i) // 8, self.select(j - 1)
+        ones = np.flatnonzero(np.unpackbits(self.high[byte : end // 8 + 1], bitorder="little")) + 8 * byte
+        ones = ones[np.searchsorted(ones, self.select(i)) :][:n]
+        x = (ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
+            first, last = i * self.low_bits, j * self.low_bits
+            bits = np.unpackbits(self.low[first // 8 : -(-last // 8)], bitorder="little")[first % 8 :][: last - first].reshape(n, self.low_bits)
             x |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return (x + np.uint64(self.base % 2**64)).astype(np.int64)
+
+    def all(self) -> np.ndarray:
+        """Every number, int64."""
+        return self.between(0, self.n)

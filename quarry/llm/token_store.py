@@ -2,7 +2,8 @@
 
 A shard is a byte string: header, Elias-Fano code of the document boundaries (0 and the end of each document in the
 shard's id array), Elias-Fano code of the ascending doc_ids, and the ids, 16 bits each where the vocabulary allows it,
-else 32. Random access to a document takes two selects. Shards are written through Spark's own writer and committer
+else 32. Random access to a document takes two selects, and readers get a run of documents from two selects at its
+ends: no table of offsets is ever made. Shards are written through Spark's own writer and committer
 (a column of bytes in Parquet), so that they go to any file system Spark can write and a lost executor's task is
 simply run again. No task holds more than one shard of SHARD_IDS ids, and one document, besides its sort.
 
@@ -58,8 +59,10 @@ class Shard:
         """doc_id and ids of the i-th document, by select."""
         return self.keys[i] if i < self.n - self.n_null else None, self.ids[self.bounds[i] : self.bounds[i + 1]]
 
-    def doc_ids(self) -> list[int | None]:
-        return [*self.keys.all().tolist(), *[None] * self.n_null]
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        """Of the documents from i, before j."""
+        known = self.n - self.n_null
+        return [*self.keys.between(min(i, known), min(j, known)).tolist(), *[None] * (j - max(i, min(j, known)))]
 
 
 def sliced(texts: pa.Array, chars: int = SLICE_CHARS) -> Iterator[tuple[int, pa.Array]]:
@@ -73,7 +76,7 @@ def sliced(texts: pa.Array, chars: int = SLICE_CHARS) -> Iterator[tuple[int, pa.
         begin = end
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2, shard_ids: int = SHARD_IDS) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> None:
     """Encode the texts of docs, end_id after each, and write them to path."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +84,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int =
         keys: list[int | None] = []
         runs: list[np.ndarray] = []
         lengths: list[int] = []
-        held = 0
+        held, width = 0, coder.id_bytes(end_id)
 
         def flushed() -> pa.RecordBatch:
             payload = shard_bytes(keys, np.array(lengths, np.int64), np.concatenate(runs), width)
@@ -119,13 +122,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for base, payload in zip(b["base"].to_pylist(), b["payload"], strict=True):
                 shard = Shard(payload.as_buffer())
-                bounds, keys = shard.bounds.all(), shard.doc_ids()
                 for i in range(0, shard.n, 1024):
                     j = min(shard.n, i + 1024)
-                    ids = shard.ids[bounds[i] : bounds[j]].astype("<u4")
-                    ends = ((bounds[i : j + 1] - bounds[i]) * 4).astype(np.int32)
+                    bounds, keys = shard.bounds.between(i, j + 1), shard.doc_ids(i, j)
+                    ids = shard.ids[bounds[0] : bounds[-1]].astype("<u4")
+                    ends = ((bounds - bounds[0]) * 4).astype(np.int32)
                     blobs = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
-                    yield pa.record_batch([pa.array(keys[i:j], pa.int64()), pa.array(base + bounds[i:j]), pa.array(np.diff(bounds[i : j + 1])), blobs], ["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), blobs], ["doc_id", "start", "n_tokens", "ids"])
 
     placed = stored.join(F.broadcast(parts), F.col("part") == F.col("of_part")).select((F.col("base") + F.col("before")).alias("base"), "payload")
     return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")

@@ -95,6 +95,10 @@ class Encoder:
             self.measure[i] = len(name) if self.spaced else name.endswith("</w>")
         self.chunks, self.units = Table(CHUNKS), Table(UNITS)
 
+    def id_bytes(self, *more: int) -> int:
+        """Bytes that hold any id of the vocabulary, and the ids in more."""
+        return 2 if max(len(self.measure) - 1, *more) < 1 << 16 else 4
+
     def cut(self, text: str) -> list[str]:
         """Chunks of an odd text. One that is to be read without a space before it starts with a zero character, if spaces count."""
         if not self.spaced:
