@@ -3,8 +3,9 @@
 Pieces are dealt over partitions by hash and packed there by best-fit decreasing. Dual-feasible functions give each
 partition a lower bound of its number of bins: a partition that meets it is certified. Partitions with a gap, and the
 loosest bins of the others while all together have a gap to the bound of the whole, give their documents up; these are
-dealt over half as many partitions at most, so that documents of different partitions meet, and packed again. Only
-lengths travel in these rounds.
+dealt anew, over partitions of as many pieces as before, so that documents of different partitions meet, and packed
+again. No partition grows with the input: there are ROUNDS rounds at most, fewer if one partition holds what is left or
+the bound of the whole is met, and the last one keeps its bins as they are. Only lengths travel in these rounds.
 
 Defined results: null text is an empty document (its end id alone); a document of more than `size` ids is cut into
 pieces of `size` ids, the last one shorter; no other document is cut; repeated rows are documents of their own; a null
@@ -29,7 +30,7 @@ from quarry.llm.words import encoder
 
 SIZE = 4096
 #: Pieces in a partition of a round, about; and bins that a certified partition gives up, at most.
-PIECES, LOOSE = 100_000, 64
+PIECES, LOOSE, ROUNDS = 100_000, 64, 6
 
 
 def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,11 +73,12 @@ def lower_bound(counts: np.ndarray, size: int) -> int:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE) -> DataFrame:
-    """uid, doc_id, piece, start, length, ids (little-endian unsigned 16-bit), ids_crc32 (of the ids in 32 bits)."""
+    """uid, doc_id, piece, start, length, ids (little-endian, unsigned, 16 bits each where the vocabulary allows it, else 32), ids_crc32 (of the ids in 32 bits)."""
     end = np.array([end_id], np.uint32)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid, coder = TaskContext.get().partitionId() << 36, encoder(tokenizer)
+        kind = f"<u{coder.id_bytes(end_id)}"
         for b in batches:
             doc_ids = b["doc_id"].to_pylist()
             for begin, texts in sliced(b["text"]):
@@ -85,7 +87,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE) ->
                     ids = np.concatenate([got, end]).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), size)):
                         part = ids[start : start + size]
-                        for column, value in zip(rows, (uid, doc_ids[k], piece, start, len(part), part.astype("<u2").tobytes(), zlib.crc32(part.tobytes())), strict=True):
+                        for column, value in zip(rows, (uid, doc_ids[k], piece, start, len(part), part.astype(kind).tobytes(), zlib.crc32(part.tobytes())), strict=True):
                             column.append(value)
                         uid += 1
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
@@ -110,7 +112,7 @@ def _packer(size: int, turn: int, last: bool):
     return packed
 
 
-def place(lengths: DataFrame, size: int = SIZE, pieces: int = PIECES) -> DataFrame:
+def place(lengths: DataFrame, size: int = SIZE, pieces: int = PIECES, rounds: int = ROUNDS) -> DataFrame:
     """uid, sequence_id, offset for lengths' uid and length."""
     path = run_dir(lengths.sparkSession, "packing")
     n = lengths.count()
@@ -121,8 +123,7 @@ def place(lengths: DataFrame, size: int = SIZE, pieces: int = PIECES) -> DataFra
     bound, used, left = lower_bound(whole, size), 0, lengths
 
     while True:
-        last = parts == 1
-
+        last = parts == 1 or turn == rounds - 1
         dealt = left.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)).cast("long").alias("bucket"))
         done = stored(dealt.groupBy("bucket").applyInPandas(_packer(size, turn, last), "uid long, length long, sequence_id long, offset long, held boolean"), f"{path}/{turn}")
         held = done.where("held").select("uid", "sequence_id", "offset")
@@ -134,7 +135,7 @@ def place(lengths: DataFrame, size: int = SIZE, pieces: int = PIECES) -> DataFra
         used += in_held
         settled = held if settled is None else settled.unionByName(held)
         left = done.where("not held").select("uid", "length")
-        parts, turn = max(1, min(parts // 2, -(-left.count() // pieces))), turn + 1
+        parts, turn = max(1, -(-left.count() // pieces)), turn + 1
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE) -> DataFrame:
