@@ -60,7 +60,7 @@ class ExactDedup:
             f"{self.path}/bitmaps",
         )
         seen = self._asked(self.prints).where("_qx_maybe").select("doc_id", "sha")
-        self.groups = stored(seen.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), f"{self.path}/groups")
+        self.groups = stored(seen.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), f"{self.path}/groups")
 
     def _asked(self, df: DataFrame) -> DataFrame:
         """df, which has sha, with _qx_maybe: false only if the row's hash occurs once."""
@@ -75,23 +75,17 @@ class ExactDedup:
         asked = self._asked(self.prints)
         alone = asked.where(~F.col("_qx_maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
         nth = F.row_number().over(Window.partitionBy("sha", "doc_id").orderBy("doc_id"))
-        maybe = asked.where("_qx_maybe").withColumn("_qx_nth", nth).join(self.groups, "sha", "left")
-        grouped = maybe.select(
-            "doc_id",
-            F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-            F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-            (F.col("group_size").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_qx_nth") == 1))).alias("kept"),
-            "sha",
-        )
+        maybe = asked.where("_qx_maybe").withColumn("_qx_nth", nth).join(self.groups, "sha")
+        grouped = maybe.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_qx_nth") == 1)).alias("kept"), "sha")
         return alone.unionByName(grouped).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
 
     def survivors(self) -> DataFrame:
-        """The rows of docs that stay, with the columns of docs. Texts of certainly unique rows don't shuffle."""
+        """The rows of docs that stay, with the columns of docs. Texts of certainly unique rows don't shuffle, and copies
+        of one text spread out by doc_id."""
         docs = self.docs.select(F.struct(*(F.col(f"`{c}`") for c in self.docs.columns)).alias("_qx_row"), F.col("doc_id").alias("_qx_id"), F.unhex(F.sha2(normalised(), 256)).alias("sha"))
         asked = self._asked(docs)
         alone = asked.where(~F.col("_qx_maybe")).select("_qx_row")
-        keepers = self._asked(self.prints).where("_qx_maybe").join(self.groups, "sha", "left")
-        keepers = keepers.where(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("sha").alias("_qx_sha"), F.col("doc_id").alias("_qx_keep")).distinct()
+        keepers = self.groups.select(F.col("sha").alias("_qx_sha"), F.col("keep_id").alias("_qx_keep"))
         maybe = asked.where("_qx_maybe").join(keepers, (F.col("sha") == F.col("_qx_sha")) & F.col("_qx_id").eqNullSafe(F.col("_qx_keep")), "left_semi")
         nth = F.row_number().over(Window.partitionBy("sha", "_qx_id").orderBy("_qx_id"))
         maybe = maybe.withColumn("_qx_nth", nth).where("_qx_nth = 1").select("_qx_row")
