@@ -10,6 +10,7 @@ how often and where each occurs in the batch. A minimiser that is very frequent
 hot: a bucket of such would gather what many documents put around a shared passage. Its windows travel singly, each to
 the bucket of its own hash. The list of hot minimisers only decides how windows travel, never what is counted.
 
+Texts are counted first, and there are as many buckets as keep one to BUCKET_BYTES of them on average, whatever the input.
 Buckets sort 64-bit hashes of windows; windows with equal hashes are then compared word by word, so counts are exact.
 
 Defined results: words are what white space separates, unchanged; null text has none; a text of fewer than WINDOW
@@ -36,8 +37,8 @@ from quarry.llm.token_store import sliced
 from quarry.llm.words import gathered
 
 WINDOW, MINIMISER = 35, 4
-#: Buckets for each shuffle partition; bytes of text in a batch.
-BUCKETS, BATCH = 8, 12_000_000
+#: Buckets for each shuffle partition, at least; bytes of text for each bucket, at most; bytes of text in a batch.
+BUCKETS, BUCKET_BYTES, BATCH = 8, 16_000_000, 12_000_000
 #: Documents in the sample for hot minimisers, about, and the share of a sample's super-k-mers that makes one hot.
 SAMPLE, HOT = 4096, 1 / 2000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -166,9 +167,9 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return batch["text"].cast(pa.binary()).to_pylist()
 
 
-def hot_minimisers(docs: DataFrame, window: int, sample: int = SAMPLE) -> np.ndarray:
+def hot_minimisers(docs: DataFrame, n_docs: int, window: int, sample: int = SAMPLE) -> np.ndarray:
     """Minimisers of a share of HOT or more of a sample's super-k-mers: 1 / HOT at most."""
-    share = min(1.0, sample / max(1, docs.count()))
+    share = min(1.0, sample / max(1, n_docs))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,9 +188,10 @@ def hot_minimisers(docs: DataFrame, window: int, sample: int = SAMPLE) -> np.nda
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """id (doc_id, or 0), key (see row_key), starts (little-endian 32-bit word numbers): windows of each document that occur elsewhere, too."""
     spark = docs.sparkSession
-    hot = spark.sparkContext.broadcast(hot_minimisers(docs, window))
+    size = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    hot = spark.sparkContext.broadcast(hot_minimisers(docs, size["docs"], window))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = np.uint64(parts * BUCKETS)
+    buckets = np.uint64(max(parts * BUCKETS, -(-size["bytes"] // BUCKET_BYTES)))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
