@@ -6,10 +6,10 @@ the same shingle set are one node, so copies are never paired with each other. S
 band is a star of edges to its least node, never all pairs. Nodes that bands connect form candidate groups. The texts
 of a group's nodes meet once, and all pairs of the group are verified there on full shingle sets, as counts from an
 inverted index that are added up in place: only each node's number of links and its class come out. A group of over
-BLOCK nodes is dealt out as pairs of blocks.
+BLOCK nodes or BLOCK_BYTES of text is dealt out as pairs of blocks.
 
-Words are what white space separates, unchanged; a shingle is known by its 64-bit fingerprint, a shingle set by a
-128-bit one, of which 64 bits name its node.
+Words are what white space separates, unchanged; a shingle is known by its 64-bit fingerprint, a shingle set (a node)
+by a 128-bit one.
 
 Defined results: a text of fewer than five words is one shingle; an empty or null text has none and is linked to
 nothing; a class's id is its least doc_id, null if it has none; repeated rows link like any copies; an empty table
@@ -31,7 +31,7 @@ from quarry.llm.common import row_key, run_dir, stored, text_of
 from quarry.llm.token_store import sliced
 from quarry.operators.components import connected_components
 
-WORDS, BANDS, ROWS, BLOCK = 5, 32, 6, 256
+WORDS, BANDS, ROWS, BLOCK, BLOCK_BYTES = 5, 32, 6, 256, 16_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Added to the hash of a shingle's first, second, ... word.
 _PLACES = _MIX * np.arange(1, WORDS + 1, dtype=np.uint64)
@@ -84,7 +84,7 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, key, node (null for texts without words), bands."""
+    """doc_id, key, bytes of text, node (null for texts without words), bands."""
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,19 +92,19 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 sets = shingles(texts.to_pylist())
                 full = [s for s in sets if len(s)]
                 hashes = bands_of(full).view(np.int64) if full else np.empty((0, BANDS), np.int64)
-                nodes = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) if len(s) else None for s in sets]
+                nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 ends = np.concatenate([[0], np.cumsum([BANDS * bool(len(s)) for s in sets])]).astype(np.int32)
                 own = slice(begin, begin + len(texts))
-                yield pa.record_batch([b["doc_id"][own], b["key"][own], pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.ravel()))], ["doc_id", "key", "node", "bands"])
+                yield pa.record_batch([b["doc_id"][own], b["key"][own], b["bytes"][own], pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.ravel()))], ["doc_id", "key", "bytes", "node", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), text_of()).alias("key"), text_of().alias("text"))
-    return rows.mapInArrow(sketches, "doc_id long, key long, node long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), text_of()).alias("key"), F.octet_length(text_of()).cast("long").alias("bytes"), text_of().alias("text"))
+    return rows.mapInArrow(sketches, "doc_id long, key long, bytes long, node binary, bands array<long>")
 
 
-def linked(sets: list[np.ndarray], weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def linked(sets: list[np.ndarray], weights: np.ndarray, blocks: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """For each set, the weights of the sets with a similarity of 0.8 or more, and the first set of its class.
 
-    Sets of two different blocks are compared with each other; sets of one block, all.
+    across: only sets of different blocks are compared with each other; else all are.
     """
     n = len(sets)
     sizes = np.array(list(map(len, sets)))
@@ -113,7 +113,6 @@ def linked(sets: list[np.ndarray], weights: np.ndarray, blocks: np.ndarray) -> t
     by_id = docs[np.argsort(ids, kind="stable")]
     df = np.bincount(ids)
     first = np.cumsum(df) - df
-    across = len(np.unique(blocks)) > 1
     links, top = np.zeros(n, np.int64), list(range(n))
 
     def root(i: int) -> int:
@@ -141,43 +140,50 @@ def linked(sets: list[np.ndarray], weights: np.ndarray, blocks: np.ndarray) -> t
     return links, np.array([root(i) for i in range(n)], np.int64)
 
 
-def _verified(group: pd.DataFrame) -> pd.DataFrame:
+def _verified(pair: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    """pair: the group, and its two blocks, of which one may have no nodes."""
     group = group.drop_duplicates("node").reset_index(drop=True)
-    nodes = group["node"].to_numpy()
-    links, roots = linked(shingles(group["text"].tolist()), group["copies"].to_numpy(), group["block"].to_numpy())
+    nodes, across = group["node"].to_numpy(), pair[1] != pair[2]
+    if across and group["block"].nunique() < 2:
+        return pd.DataFrame({"node": nodes[:0], "links": np.empty(0, np.int64), "root": nodes[:0]})
+    links, roots = linked(shingles(group["text"].tolist()), group["copies"].to_numpy(), group["block"].to_numpy(), across)
     return pd.DataFrame({"node": nodes, "links": links, "root": nodes[roots]})
 
 
 class NgramJoin:
     """`classes()` has a row for each row of docs; `survivors()` has one document of each class."""
 
-    def __init__(self, docs: DataFrame, block: int = BLOCK):
+    def __init__(self, docs: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES):
         self.docs, self.path = docs, run_dir(docs.sparkSession, "ngram-join")
         self.sketches = stored(_sketched(docs), f"{self.path}/sketches")
         rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-        self.nodes = stored(self.sketches.where("node IS NOT NULL").groupBy("node").agg(rep.alias("rep"), F.count("*").alias("copies")), f"{self.path}/nodes")
-        bands = self.sketches.where("node IS NOT NULL").select("node", F.explode("bands").alias("band"))
+        full = self.sketches.where("node IS NOT NULL").groupBy("node")
+        self.nodes = stored(full.agg(rep.alias("rep"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"), F.any_value("bands").alias("bands")), f"{self.path}/nodes")
+        bands = self.nodes.select("node", F.explode("bands").alias("band"))
         stars = bands.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("band", "least")
+        stars = stored(stars, f"{self.path}/stars")  # so that the join is of plain exchanges, and split where a band is hot
         edges = bands.join(stars, "band").where("node != least").select("node", "least").distinct()
-        groups = connected_components(edges, "node", "least")
-        sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        placed = groups.join(sizes, "component").join(self.nodes, "node")
+        groups = stored(connected_components(edges, "node", "least").join(self.nodes.drop("bands"), "node"), f"{self.path}/groups")
+        sizes = groups.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / block_bytes)).cast("int").alias("blocks"))
+        placed = groups.join(stored(sizes, f"{self.path}/sizes"), "component")
         placed = placed.select("node", "component", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.key").alias("rep_key"))
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), text_of()).alias("key"), text_of().alias("text"))
         met = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key")))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         met = met.select("component", "block", "node", "copies", "text", other)
         met = met.select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "copies", "text")
-        verified = stored(met.groupBy("component", "one", "two").applyInPandas(_verified, "node long, links long, root long"), f"{self.path}/verified")
+        verified = stored(met.groupBy("component", "one", "two").applyInPandas(_verified, "node binary, links long, root binary"), f"{self.path}/verified")
         links = verified.groupBy("node").agg(F.sum("links").alias("links"))
         classes = connected_components(verified.where("node != root").select("node", "root"), "node", "root")
-        every = self.nodes.join(links, "node", "left").join(classes, "node", "left")
+        every = self.nodes.drop("bands").join(links, "node", "left").join(classes, "node", "left")
         every = every.select("node", "rep", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
         tops = every.groupBy("component").agg(F.min("rep").alias("top"))
         self.verdicts = stored(every.join(tops, "component").select("node", "n_links", "top"), f"{self.path}/verdicts")
 
     def _rows(self) -> DataFrame:
-        rows = self.sketches.select("doc_id", "key", "node").join(self.verdicts, "node", "left")
+        rows = self.sketches.where("node IS NOT NULL").select("doc_id", "key", "node").join(self.verdicts, "node")
+        bare = self.sketches.where("node IS NULL").select("doc_id", "key")  # apart, or their nulls would meet in one task
+        rows = rows.unionByName(bare, allowMissingColumns=True)
         own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
         return rows.select("doc_id", "key", F.coalesce("top", own).alias("top"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
