@@ -5,9 +5,11 @@ is one line with its text length and the number of tags in it; its ratio is text
 are never content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments: told by
 element, role, or words of class and id) have ratio 0; lines inside <article> or <main> weigh more. Ratios are
 smoothed along the page with a Gaussian kernel, and lines above the threshold (the smoothed ratios' standard
-deviation) form clusters. A region, that is the outermost sectioning element below <body> around a line, is content if
-it has a line in a cluster; all of its lines are then kept, short ones too, and so are lines between the page's first
-and last cluster. If the page has an <article> or <main>, only lines in it can be content, and all of them are.
+deviation) form clusters. A region is what the outermost sectioning element below <body>, or below <article> or <main>,
+has around a line. It is content if it has a line in a cluster; all of its lines are then kept, short ones too, and so
+are lines between the page's first and last cluster. If the page has an <article> or <main>, only lines in it can be
+content, and there a region without a cluster goes only if most of its text is in links: short paragraphs in elements
+of their own are part of an article, lists of links are not.
 
 Defined results: null, empty or text-free html gives an empty text; entities are decoded; white space inside a block
 becomes one space; blocks are joined by two newlines; broken markup is read as the parser recovers it; repeated rows
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -33,7 +36,7 @@ BLOCKS = frozenset(
 NEVER = frozenset("head title nav header footer aside form script style noscript template svg iframe object button select textarea dialog menu canvas audio video map math".split())
 MAIN = frozenset(("article", "main"))
 REGIONS = frozenset("article main section div body td blockquote".split())
-#: The outermost of these is the region of all that is in it; the rest of the page is one.
+#: The outermost of these is the region of all that is in it; the rest of the page, of an article, or of main is one.
 OUTER = frozenset("article main section div".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of a class or id that mark what is not the article.
@@ -57,6 +60,8 @@ class Line(NamedTuple):
     never: bool
     main: bool
     region: int
+    #: Characters of the text that are in links.
+    linked: int
 
 
 def is_marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -88,19 +93,20 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = 0
-        #: Open elements: (tag, never content, in the article, region, whether its block is never content).
-        self.open: list[tuple[str, bool, bool, int, bool]] = [("", False, False, 0, False)]
+        self.tags = self.linked = self.links = 0
+        #: Open elements: (tag, never content, in the article, region, whether its block is never content, whether inner elements are regions).
+        self.open: list[tuple[str, bool, bool, int, bool, bool]] = [("", False, False, 0, False, True)]
         self.regions = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, _, main, region, never = self.open[-1]
-            self.lines.append(Line(text, self.tags, never, main, region))
-        self.parts, self.tags = [], 0
+            _, _, main, region, never, _ = self.open[-1]
+            self.lines.append(Line(text, self.tags, never, main, region, self.linked))
+        self.parts, self.tags, self.linked = [], 0, 0
 
     def close_to(self, depth: int) -> None:
+        self.links -= sum(x[0] == "a" for x in self.open[depth:])
         del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -113,12 +119,14 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, never, main, region, block = self.open[-1]
-        if tag in OUTER and not region:
+        _, never, main, region, block, divides = self.open[-1]
+        is_main = tag in MAIN or ("role", "main") in attrs
+        if is_main or (tag in OUTER and divides):
             self.regions += 1
-            region = self.regions
+            region, divides = self.regions, is_main
         never = never or is_marked(tag, attrs)
-        self.open.append((tag, never, main or tag in MAIN or ("role", "main") in attrs, region, never if tag in BLOCKS else block))
+        self.links += tag == "a"
+        self.open.append((tag, never, main or is_main, region, never if tag in BLOCKS else block, divides))
 
     def ended_by(self, tag: str) -> int:
         """How many elements stay open when an open p, li, ... ends because tag starts; 0: none ends."""
@@ -147,9 +155,11 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        _, never, _, _, block = self.open[-1]
+        _, never, _, _, block, _ = self.open[-1]
         if not never or block:  # else it is an inline script, button, advert, ... in a block of text
             self.parts.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
 
 def lines_of(html: str) -> list[Line]:
@@ -184,11 +194,16 @@ def main_text(html: str) -> str:
     soft = smoothed(ratios)
     mean = sum(soft) / len(soft)
     threshold = min(math.sqrt(sum((s - mean) ** 2 for s in soft) / len(soft)), max(s for s, r in zip(soft, ratios, strict=True) if r))
-    # the article is one content region, whatever its inner sections
-    region = lambda x: -1 if has_main else x.region
     clustered = [i for i, (s, r) in enumerate(zip(soft, ratios, strict=True)) if r and s >= threshold]
-    content = {region(lines[i]) for i in clustered}
-    return "\n\n".join(x.text for i, (x, r) in enumerate(zip(lines, ratios, strict=True)) if r and (region(x) in content or clustered[0] <= i <= clustered[-1]))
+    content = {lines[i].region for i in clustered}
+    if has_main:
+        text, linked = Counter(), Counter()
+        for x, r in zip(lines, ratios, strict=True):
+            if r:
+                text[x.region] += len(x.text)
+                linked[x.region] += x.linked
+        content |= {k for k in text if 2 * linked[k] <= text[k]}
+    return "\n\n".join(x.text for i, (x, r) in enumerate(zip(lines, ratios, strict=True)) if r and (x.region in content or clustered[0] <= i <= clustered[-1]))
 
 
 def extract(pages: DataFrame) -> DataFrame:
