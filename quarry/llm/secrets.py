@@ -51,6 +51,8 @@ RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyj",)),
 )
 SPANS = "array<struct<rule:string,start:int,end:int>>"
+#: Blobs to scan whose hashes are broadcast (about 60 bytes each), so that no text shuffles; more are joined by a shuffle.
+FEW = 200_000
 
 
 def find(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
@@ -89,6 +91,9 @@ class BlobLedger:
         asked = F.array(*(F.lit(r.key) for r in rules))
         known = self.rows().groupBy("sha").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
         todo = blobs.join(known, "sha", "left").select("sha", "one_id", F.array_except(asked, F.coalesce("known", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
+        todo = stored(todo, f"{work}/todo")
+        if todo.limit(FEW + 1).count() <= FEW:
+            todo = F.broadcast(todo)
         texts = docs.select("doc_id", F.unhex(F.sha2(text_of(), 256)).alias("blob"), text_of().alias("text"))
         unseen = texts.join(todo, (F.col("blob") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("one_id"))).select("sha", "rules", "text")
         by_key = {r.key: r._replace(name=r.key) for r in rules}  # spans in the ledger are of a rule version
@@ -107,6 +112,7 @@ class BlobLedger:
         named = lambda s: F.struct(F.substring_index(s["rule"], "@", 1).alias("rule"), s["start"].alias("start"), s["end"].alias("end"))
         present = present.select("sha", F.transform(F.filter("spans", of), named).alias("spans"))
         found = present.where(F.size("spans") > 0).groupBy("sha").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+        found = stored(found, f"{work}/found")  # so that the join is of plain exchanges, and split where a blob has many paths
         return versions.join(found, "sha", "left").select("doc_id", "sha", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
