@@ -41,6 +41,8 @@ def test_elias_fano(values):
     code, size = EliasFano.from_bytes(memoryview(EliasFano.of(values).to_bytes()))
     assert (code.all() == values).all()
     assert [code[i] for i in range(len(values))] == values.tolist()
+    for i, j in ((0, 1), (1, 5), (500, 530), (len(values) - 3, len(values))):
+        assert code.between(max(0, i), min(j, len(values))).tolist() == values[max(0, i) : j].tolist()
 
 
 def test_elias_fano_is_small():
@@ -51,6 +53,7 @@ def test_elias_fano_is_small():
 def test_shard_round_trip():
     lengths = np.array([3, 0, 2, 5])
     shard = Shard(shard_bytes([-5, 7, 7, None], lengths, np.arange(10), 2))
+    assert shard.doc_ids(1, 4) == [7, 7, None] and shard.doc_ids(3, 4) == [None]
     assert [(i, x.tolist()) for i, x in map(shard.document, range(4))] == [(-5, [0, 1, 2]), (7, []), (7, [3, 4]), (None, [5, 6, 7, 8, 9])]
 
 
@@ -121,7 +124,7 @@ def test_links_of_a_group_are_exact():
             w[rng.randrange(80)] = "x"
         texts.append(" ".join(w))
     sets = shingles(texts)
-    links, _ = linked(sets, np.ones(40, np.int64), np.zeros(40, np.int64))
+    links, _ = linked(sets, np.ones(40, np.int64), np.zeros(40, np.int64), False)
     want = [sum(len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) - 1e-9 for b in sets) - 1 for a in sets]
     assert links.tolist() == want
     assert bands_of(sets).shape == (40, BANDS)
