@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import columns, gathered
 from quarry.plans.stages import run_dir, stored
 
 
-def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "u", right: str = "v", local: int = 0) -> DataFrame:
     """node, component for every node of an edge; a component's name is its least node.
 
+    local: a relation of at most so many edges is gathered and united in plain Python (see graph.gathered); 0: never.
+
     Each round points the neighbours of a node at the least of them, first the larger ones, then the smaller ones; the
     edges end up as stars. Rounds grow with the logarithm of the graph. A round is aggregates and joins (no group is
     gathered). The aggregates are stored before they are joined: a join right behind an aggregate would keep all edges of
@@ -18,6 +21,8 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     of any type that has an order. Edges with a null end and loops are left out.
     """
     path, turn, before = run_dir(edges.sparkSession, "components"), 0, None
+    if (table := gathered(edges.select(left, right), local)) is not None:
+        return edges.sparkSession.createDataFrame(united(columns(table)), f"node {dict(edges.dtypes)[left]}, component {dict(edges.dtypes)[left]}")
     now = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = stored(now, f"{path}/{turn}")
     while True:
@@ -36,3 +41,22 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
         before = seen
     tops = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))
+
+
+def united(pairs: list[tuple]) -> list[tuple]:
+    """(node, least node of its component) of pairs of different nodes."""
+    top: dict = {}
+
+    def root(n):
+        while top[n] != n:
+            top[n] = top[top[n]]
+            n = top[n]
+        return n
+
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            top.setdefault(a, a)
+            top.setdefault(b, b)
+            one, two = sorted((root(a), root(b)))
+            top[two] = one
+    return [(n, root(n)) for n in list(top)]

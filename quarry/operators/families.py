@@ -15,7 +15,7 @@ def key_families(df: DataFrame, keys: list[str], member: str, least: int = 2, le
     return groups.where((F.col("occurrences") >= least) & (F.col("members") >= least_members))
 
 
-def selector_families(df: DataFrame, key: list[str], member: str, fields: str, shape: str | None = None, least: float = 0.5) -> DataFrame:
+def selector_families(df: DataFrame, key: list[str], member: str, fields: str, shape: str | None = None, least: float = 0.5, local: int = 0) -> DataFrame:
     """member, family: members of the same key that are alike: the same shape, or sets of fields (an array) whose
     Jaccard similarity is `least` or more, directly or through others. Only families of two or more.
 
@@ -30,7 +30,7 @@ def selector_families(df: DataFrame, key: list[str], member: str, fields: str, s
     if shape:
         hubs = base.where("shape IS NOT NULL").groupBy(*key, "shape").agg(F.min(member).alias("v"))
         edges = edges.unionByName(base.join(hubs, [*key, "shape"]).select(F.col(member).alias("u"), "v"))
-    return connected_components(edges).select(F.col("node").alias(member), F.col("component").alias("family"))
+    return connected_components(edges, local=local).select(F.col("node").alias(member), F.col("component").alias("family"))
 
 
 def set_summary(members: DataFrame, family: str, member: str, fields: str) -> DataFrame:

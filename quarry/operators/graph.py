@@ -1,40 +1,103 @@
-"""Reachability, closures and what follows from them, level by level with DataFrames."""
+"""Reachability, closures and what follows from them, level by level with DataFrames.
+
+Every search takes `local`: a relation of at most so many rows is gathered (one bounded read tells) and searched in
+plain Python, because a job for each level costs more than the search of a small graph. 0, the default, never gathers.
+Both ways give the same rows.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.plans.stages import run_dir, stored
 
+#: Rows of a relation of one project that its driver may hold: some tens of megabytes.
+PROJECT = 300_000
+
+
+def gathered(df: DataFrame, most: int) -> pa.Table | None:
+    """The rows of df if there are at most `most`, and it isn't 0."""
+    if not most:
+        return None
+    table = df.limit(most + 1).toArrow()
+    return table if table.num_rows <= most else None
+
+
+def columns(table: pa.Table) -> list[tuple]:
+    return list(zip(*(table[c].to_pylist() for c in table.column_names), strict=True))
+
 
-def reach(edges: DataFrame, seeds: DataFrame, paths: bool = False) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, paths: bool = False, local: int = 0) -> DataFrame:
     """node, hops (0 for seeds) and, if asked for, path (from a seed to the node) of all nodes that seeds lead to.
 
-    edges: source, target, and optionally slot; seeds: node, and optionally rank. A level is one join and one anti-join
-    and is stored, so that lineage stays short. Where several nodes lead to a new one, the one that was itself found
-    first counts, then the edge with the least slot: the order of a first-in first-out search.
+    edges: source, target, and optionally slot; seeds: node, and optionally rank and label. A level is one join and one
+    anti-join and is stored, so that lineage stays short. Where several nodes lead to a new one, the one that was itself
+    found first counts, then the edge with the least slot: the order of a first-in first-out search. Seeds with labels
+    are searched from label by label; the label is then the first column, and `place` (with paths) the order in a level.
     """
+    edges = edges.select("source", "target", "slot") if "slot" in edges.columns else edges.select("source", "target", F.lit(0).cast("long").alias("slot"))
+    rank = (F.min("rank") if "rank" in seeds.columns else F.lit(0)).cast("long").alias("rank")
+    key = (["label"] if "label" in seeds.columns else []) + ["node"]
+    start = seeds.groupBy(*key).agg(rank)
+    shown = [*key, "hops", *((["place"] if len(key) > 1 else []) + ["path"] if paths else [])]
+    links = gathered(edges, local)
+    if links is not None and (seeded := gathered(start, local)) is not None:
+        return _searched(edges.sparkSession, start, links, seeded).select(*shown)
+
     path, level = run_dir(edges.sparkSession, "reach"), 0
-    edges = edges if "slot" in edges.columns else edges.withColumn("slot", F.lit(0))
-    if "rank" not in seeds.columns:
-        seeds = seeds.withColumn("rank", F.lit(0).cast("long"))
-    start = seeds.groupBy("node").agg(F.min("rank").cast("long").alias("rank")).withColumn("hops", F.lit(0))
-    start = start.withColumn("path", F.array("node") if paths else F.lit(None).cast("array<string>"))
+    start = start.withColumn("hops", F.lit(0)).withColumn("path", F.array("node") if paths else F.lit(None).cast("array<string>"))
     found = new = stored(start, f"{path}/0")
+    to = [*key[:-1], "to"]
     while not new.isEmpty():
         level += 1
-        step = new.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("to"), F.struct("rank", "slot", "node").alias("by"), "path")
-        step = step.groupBy("to").agg(F.min("by").alias("by"), F.min_by("path", "by").alias("path"))
-        fresh = step.join(found.select(F.col("node").alias("to")), "to", "left_anti")
+        step = new.join(edges, F.col("node") == F.col("source")).select(*key[:-1], F.col("target").alias("to"), F.struct("rank", "slot", "node").alias("by"), "path")
+        step = step.groupBy(*to).agg(F.min("by").alias("by"), F.min_by("path", "by").alias("path"))
+        fresh = step.join(found.select(*key[:-1], F.col("node").alias("to")), to, "left_anti")
         if paths:  # ranks matter only to choose among parents; numbered within ranges, so that no task sorts all
             fresh = ranked(fresh, "by")
             grown = F.concat("path", F.array("to"))
         else:
             fresh, grown = fresh.withColumn("rank", F.lit(0).cast("long")), F.col("path")
-        new = stored(fresh.select(F.col("to").alias("node"), "rank", F.lit(level).alias("hops"), grown.alias("path")), f"{path}/{level}")
+        new = stored(fresh.select(*key[:-1], F.col("to").alias("node"), "rank", F.lit(level).alias("hops"), grown.alias("path")), f"{path}/{level}")
         found = stored_union(edges.sparkSession, path, level, found.schema)
-    return found.select("node", "hops", *(["path"] if paths else []))
+    return found.withColumnRenamed("rank", "place").select(*shown)
+
+
+def _searched(spark, start: DataFrame, links: pa.Table, seeded: pa.Table) -> DataFrame:
+    """label (if seeds have one), node, hops, place, path, of a gathered graph."""
+    out: dict = defaultdict(list)
+    for source, target, slot in columns(links):
+        out[source].append((slot, target))
+    kinds = {f.name: f.dataType.simpleString() for f in start.schema}
+    found: dict[tuple, tuple] = {}
+    new = {tuple(key): (rank, None) for *key, rank in columns(seeded)}
+    hops = 0
+    while new:
+        order = sorted(new.items(), key=lambda x: x[1][0])
+        found |= {key: (hops, place, parent) for key, (place, parent) in order}
+        best: dict[tuple, tuple] = {}
+        for (*label, node), (place, _) in order:
+            for slot, target in out[node]:
+                key, by = (*label, target), (place, slot, node)
+                if key not in found and (key not in best or by < best[key]):
+                    best[key] = by
+        hops += 1
+        new = {key: (place, (*key[:-1], by[2])) for place, (key, by) in enumerate(sorted(best.items(), key=lambda x: x[1]), 1)}
+
+    def path(key: tuple) -> list:
+        back = []
+        while key is not None:
+            back.append(key[-1])
+            key = found[key][2]
+        return back[::-1]
+
+    rows = [(*key, depth, place, path(key)) for key, (depth, place, _) in found.items()]
+    own = "".join(f"{c} {kinds[c]}, " for c in start.columns[:-1])
+    return spark.createDataFrame(rows, f"{own}hops int, place long, path array<{kinds['node']}>")
 
 
 def stored_union(spark, path: str, level: int, schema) -> DataFrame:
@@ -51,19 +114,37 @@ def ranked(df: DataFrame, order: str) -> DataFrame:
     return spread.join(before, F.col("_part") == F.col("_p")).withColumn("rank", (nth + F.col("_before")).cast("long")).drop("_part", "_p", "_before")
 
 
-def three_valued(nodes: DataFrame, edges: DataFrame, production: DataFrame, tests: DataFrame) -> DataFrame:
-    """nodes with reachability: production, test-only or unreachable."""
-    live = reach(edges, production).select("node", F.lit(True).alias("_live"))
-    any_ = reach(edges, production.unionByName(tests)).select("node", F.lit(True).alias("_any"))
-    joined = nodes.join(live, "node", "left").join(any_, "node", "left")
-    value = F.when(F.col("_live"), "production").when(F.col("_any"), "test-only").otherwise("unreachable")
-    return joined.withColumn("reachability", value).drop("_live", "_any")
+def three_valued(nodes: DataFrame, edges: DataFrame, production: DataFrame, tests: DataFrame, local: int = 0) -> DataFrame:
+    """nodes with reachability: production, test-only or unreachable.
+
+    What tests lead to is searched for only beyond what production leads to: the second search starts where the first
+    has not been, and its edges are those into such nodes.
+    """
+    live = reach(edges, production, local=local).select(F.col("node").alias("_seen"))
+    beyond = lambda df, column: df.join(live, F.col(column) == F.col("_seen"), "left_anti")
+    tested = reach(beyond(edges, "target"), beyond(tests, "node"), local=local).select("node", F.lit("test-only").alias("_how"))
+    how = live.select(F.col("_seen").alias("node"), F.lit("production").alias("_how")).unionByName(tested)
+    return nodes.join(how, "node", "left").withColumn("reachability", F.coalesce("_how", F.lit("unreachable"))).drop("_how")
 
 
-def closure(parents: DataFrame) -> DataFrame:
+def closure(parents: DataFrame, local: int = 0) -> DataFrame:
     """node, ancestor, depth: all pairs of a child-to-parent relation (node, parent); cycles end where they close."""
     path, level = run_dir(parents.sparkSession, "closure"), 1
-    new = stored(parents.select("node", F.col("parent").alias("ancestor")).where("ancestor IS NOT NULL").distinct().withColumn("depth", F.lit(1)), f"{path}/1")
+    direct = parents.select("node", F.col("parent").alias("ancestor")).where("ancestor IS NOT NULL").distinct()
+    table = gathered(direct, local)
+    if table is not None:
+        up = defaultdict(set)
+        for node, parent in columns(table):
+            up[node].add(parent)
+        found = {}
+        for node in list(up):
+            new, depth = up[node], 1
+            while new:
+                found |= {(node, a): depth for a in new}
+                new, depth = {b for a in new for b in up.get(a, ()) if (node, b) not in found}, depth + 1
+        kind = direct.schema["node"].dataType.simpleString()
+        return parents.sparkSession.createDataFrame([(*k, d) for k, d in found.items()], f"node {kind}, ancestor {kind}, depth int")
+    new = stored(direct.withColumn("depth", F.lit(1)), f"{path}/1")
     schema, found = new.schema, new
     while not new.isEmpty():
         level += 1
@@ -75,6 +156,35 @@ def closure(parents: DataFrame) -> DataFrame:
     return found
 
 
+def circular(edges: DataFrame, local: int = 0) -> DataFrame:
+    """node: from which edges (source, target) lead into a circle. Nodes that lead nowhere go, level by level; the rest stays."""
+    left = edges.select("source", "target").distinct()
+    table = gathered(left, local)
+    if table is not None:
+        out, into = defaultdict(set), defaultdict(set)
+        for source, target in columns(table):
+            out[source].add(target)
+            into[target].add(source)
+        ends = [n for n in into if n not in out]
+        while ends:
+            n = ends.pop()
+            for source in into[n]:
+                out[source].discard(n)
+                if not out[source]:
+                    del out[source]
+                    ends.append(source)
+        return edges.sparkSession.createDataFrame([(n,) for n in out], f"node {left.schema['source'].dataType.simpleString()}")
+    path, level = run_dir(edges.sparkSession, "circular"), 0
+    left = stored(left, f"{path}/0")
+    size, before = left.count(), -1
+    while size != before:
+        level += 1
+        goes_on = left.select(F.col("source").alias("target")).distinct()
+        left = stored(left.join(goes_on, "target", "left_semi").select("source", "target"), f"{path}/{level}")
+        size, before = left.count(), size
+    return left.select(F.col("source").alias("node")).distinct()
+
+
 def exclusive(path_nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """path, node: nodes of a path that are no entries and are led to from nowhere but that path.
 
