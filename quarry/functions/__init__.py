@@ -23,6 +23,13 @@ def portable_path(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\\", "/"), r"^(\./)+", "")
 
 
+def prefixes(c: Column) -> Column:
+    """What an expression reads from: a.b[0].c reads from a, a.b, a.b[0] and a.b[0].c. Names, without white space and case."""
+    flat = normalize_name(c)
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(flat))), lambda i: (i >= F.length(flat)) | F.substr(flat, i + 1, F.lit(1)).isin(".", "["))
+    return F.transform(ends, lambda i: F.substr(flat, F.lit(1), i))
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Two decimals, halves up; 0 if there is no whole."""
     share = part.cast("double") / F.when(whole == 0, F.lit(None)).otherwise(whole).cast("double")

@@ -774,7 +774,7 @@ class Reader:
             self.note("callDetails", detail)
             at = len(self.facts["references"])
             arguments = self.arguments()
-            self.refer("call", first, detail, memberName=self.tokens[first].text, arity=len(arguments), arguments=arguments, receiverType=self.types[-1].symbol["qualifiedName"] if self.types else None)
+            self.refer("call", first, detail, memberName=self.tokens[first].text, arity=len(arguments), arguments=arguments, passed=arguments, receiverType=self.types[-1].symbol["qualifiedName"] if self.types else None)
             self.facts["references"].insert(at, self.facts["references"].pop())
 
     def arguments(self) -> list[str]:
@@ -823,7 +823,7 @@ class Reader:
         arguments = self.arguments()
         inner = self.facts["references"][at:]
         del self.facts["references"][at:]
-        self.refer("call", dot + 1, detail, memberName=own, arity=len(arguments), arguments=arguments, receiver=receiver, receiverType=declared)
+        self.refer("call", dot + 1, detail, memberName=own, arity=len(arguments), arguments=arguments, passed=None if "(" in receiver else arguments, receiver=receiver, receiverType=declared)
         kind, method = st.name(st.simple_type(declared)), own.lower()
         if kind == "database":
             if method in ("query", "querywithbinds"):
@@ -874,7 +874,7 @@ class Reader:
             detail = f"new {self.text(first, end)}"
             at = len(self.facts["references"])
             arguments = self.arguments()
-            self.refer("construct", first, detail, targetType=made, memberName=st.simple_type(made), arity=len(arguments))
+            self.refer("construct", first, detail, targetType=made, memberName=st.simple_type(made), arity=len(arguments), passed=arguments)
             self.facts["references"].insert(at, self.facts["references"].pop())
         elif self.peek() == "[":
             self.take("[")
@@ -908,7 +908,7 @@ class Reader:
         after = [k for w, k in marks.items() if w != "from" and k > marks.get("where", 0) and w != "where"]
         where = flat(marks["where"], min(after, default=len(inner))) if "where" in marks else ""
         whole = flat(0, len(inner))
-        fields = sorted(st.split_top(flat(1, marks["from"]), ","), key=st.collation)
+        fields = sorted(st.parts(flat(1, marks["from"]), ","), key=st.collation)
         found = {"symbolId": self.source_id(), "object": inner[marks["from"] + 1].text if marks["from"] + 1 < len(inner) else "unknown", "fields": fields, "filterShape": st.query_shape(where), "normalizedQuery": st.query_shape(whole), "dynamic": False}
         self.note("queries", found | st.query_semantics(whole, self.types[-1].symbol["modifiers"] if self.types else []) | {"location": self.place(first + 1, end - 1)})
 
