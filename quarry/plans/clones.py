@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import kernels
 from quarry.operators import similarity
 from quarry.operators.components import connected_components
+from quarry.operators.graph import PROJECT
 from quarry.operators.intervals import merge_intervals
 from quarry.plans.stages import run_dir, stored
 from quarry.sources.lexer import lex, parameterized
@@ -63,7 +64,7 @@ def families(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.join(twins, ["left", "right"], "left_anti")
     checked = stored(similarity.verified(pairs, bodies, "id", "tokens"), f"{path}/verified")
     near = checked.where("near").select("left", "right", "similarity")
-    groups = connected_components(near, "left", "right")
+    groups = connected_components(near, "left", "right", local=PROJECT)
     means = near.join(groups, F.col("left") == F.col("node")).groupBy("component").agg(F.avg("similarity").alias("similarity"))
     close = groups.join(means, "component").select(F.lit("near-miss").alias("kind"), F.col("component").alias("family"), F.col("node").alias("id"), "similarity")
     ends = bodies.select("id", (F.size("tokens") - 1).alias("last"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime
 import json
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import __version__
@@ -15,6 +16,7 @@ from quarry.functions import normalize_name
 from quarry.functions import kernels
 from quarry.operators import families as fam
 from quarry.operators import ordered, similarity
+from quarry.operators.graph import PROJECT, closure
 from quarry.plans import clones, flow, name_audit, provenance, reachability
 from quarry.plans.stages import run_dir, stored
 from quarry.sources import project as src
@@ -27,17 +29,25 @@ def rows(df: DataFrame, *order) -> list[dict]:
     return [r.asDict(recursive=True) for r in (df.orderBy(*order) if order else df).collect()]
 
 
+def together(*tasks):
+    """The results of tasks that don't need each other, run at the same time: most are jobs too small to fill the cluster."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
+
+
 class Project:
     """Each relation is a DataFrame; `report()` puts them together."""
 
-    def __init__(self, spark: SparkSession, path: str, include: list[str] | None = None, exclude: list[str] | None = None):
-        self.root = Path(path).resolve()
-        if not self.root.is_dir():
+    def __init__(self, spark: SparkSession, path: str | None = None, include: list[str] | None = None, exclude: list[str] | None = None, files: DataFrame | None = None):
+        """A project in a folder, or in a table of files (path, text)."""
+        self.root = Path(path).resolve() if path else None
+        if self.root and not self.root.is_dir():
             raise FileNotFoundError(f"Project directory does not exist: {self.root}")
         self.spark, self.path = spark, run_dir(spark, "project")
-        found = stored(src.files(spark, self.root, exclude or [], include), f"{self.path}/files")
-        self.code = stored(src.code_facts(found), f"{self.path}/code")
-        self.texts = stored(src.text_facts(found), f"{self.path}/texts")
+        found = src.files(spark, self.root, exclude or [], include) if self.root else src.chosen(files, exclude or [], include)
+        self.chosen = stored(found, f"{self.path}/files")
+        read = ((src.code_facts, "code"), (src.text_facts, "texts"))
+        self.code, self.texts = together(*(lambda f=f, name=name: stored(f(self.chosen), f"{self.path}/{name}") for f, name in read))
 
     def _rows(self, name: str, seq: str | None = None) -> DataFrame:
         """One of the code facts as rows, in walk order if seq names a column for it."""
@@ -80,7 +90,7 @@ class Project:
         code = self._rows("references", "ref_seq")
         none = lambda kind: F.lit(None).cast(kind)
         meta = self.metadata_refs.select(
-            none("string").alias("sourceId"), F.lit("metadata").alias("kind"), "memberName", none("int").alias("arity"), none("array<string>").alias("arguments"), none("string").alias("receiver"),
+            none("string").alias("sourceId"), F.lit("metadata").alias("kind"), "memberName", none("int").alias("arity"), none("array<string>").alias("arguments"), none("array<string>").alias("passed"), none("string").alias("receiver"),
             none("string").alias("receiverType"), "targetType", F.lit(False).alias("testContext"), "location", "detail", (F.lit(1 << 54) + F.col("at")).alias("ref_seq"),
         )
         return stored(code.unionByName(meta), f"{self.path}/raw_refs")
@@ -116,12 +126,12 @@ class Project:
         blockers = self.blockers_found
         if any(b["code"] == "dynamic-type" for b in blockers):
             live = {r["id"]: r["reachability"] for r in reached.select("id", "reachability").collect()}
-            values = self.behaviors.select("symbolId", "valueBindings", "returnExpressions")
+            returns = self.behaviors.select("symbolId", F.explode("returnExpressions").alias("r")).select("symbolId", "r.expression", "r.location")
             calls = edges.where("kind IN ('call', 'construct')").select("sourceId", "targetId", "kind", "detail", "arguments", "testContext", "location", "ref_seq")
             entry_ids = {r[0] for r in entries.where("NOT testOnly").select("symbolId").distinct().collect()}
             names = self.symbols.select("id", "kind", "name", "qualifiedName", "ownerId", "arity", "parameterNames", "sym_seq")
-            p = provenance.Provenance(rows(names, "sym_seq"), rows(values), rows(calls, "ref_seq"), entry_ids, live, self.configured)
-            blockers, made = p.resolve(blockers)
+            values = provenance.Values(rows(names, "sym_seq"), rows(provenance.bindings_of(self.behaviors)), rows(returns), rows(calls, "ref_seq"), entry_ids, live)
+            blockers, made = provenance.resolve(values, blockers, live, self.configured)
             if made:
                 fields = "sourceId string, kind string, targetType string, testContext boolean, location " + src.LOCATION + ", detail string"
                 added = self.spark.createDataFrame([{**m, "location": {**m["location"], "endLine": None, "endColumn": None}} for m in made], fields).withColumn("ref_seq", F.lit(1 << 57) + F.monotonically_increasing_id())
@@ -142,13 +152,27 @@ class Project:
         return self.files.where("NOT first_test")
 
     @cached_property
-    def clone_rows(self) -> tuple[DataFrame, DataFrame]:
+    def clone_members(self) -> tuple[DataFrame, DataFrame]:
+        """Bodies of executables, and which of them are of which family."""
         bodies = stored(clones.regions(self.production), f"{self.path}/bodies")
-        members, _ = clones.families(bodies)
-        return bodies, stored(clones.occurrences(members, bodies, self.graph["reached"]), f"{self.path}/occurrences")
+        return bodies, stored(clones.families(bodies)[0], f"{self.path}/clone-members")
+
+    @cached_property
+    def occurrences(self) -> DataFrame:
+        bodies, members = self.clone_members
+        return stored(clones.occurrences(members, bodies, self.graph["reached"]), f"{self.path}/occurrences")
+
+    def prepare(self) -> None:
+        """The relations that others build on, those together that don't need each other."""
+        together(lambda: self.symbols, lambda: self.behaviors)
+        together(lambda: self.raw_refs, lambda: self.blockers_found, lambda: self.configured)
+        together(lambda: self.graph, lambda: self.audit, lambda: self.clone_members)
+        together(lambda: self.candidates, lambda: self.occurrences, lambda: self.assessments)
 
     def _observed(self, name: str) -> DataFrame:
-        return self.production.select("seq", F.explode("facts.behaviors").alias("b")).select("seq", F.posexplode(f"b.{name}").alias("pos", "q")).select("q.*", F.monotonically_increasing_id().alias("at"))
+        """One of the lists of production behaviours as rows, with `at`: their place in walk order."""
+        each = self.production.select("seq", F.posexplode("facts.behaviors").alias("n", "b")).select("seq", "n", F.posexplode(f"b.{name}").alias("pos", "q"))
+        return each.select("q.*", (F.col("seq").cast("long") * (1 << 36) + F.col("n").cast("long") * (1 << 16) + F.col("pos")).alias("at"))
 
     def query_families(self) -> DataFrame:
         """kind, object, occurrences, symbols, commonFields, allFields, shapes: equal queries, and selectors that overlap."""
@@ -158,14 +182,14 @@ class Project:
         q = q.withColumn("semantics", F.concat_ws("|", "o", "securityMode", "sharingContext", "aggregate", "locking"))
         same = q.groupBy("normalizedQuery", "o").agg(F.count("*").alias("n")).where("n >= 2").select("normalizedQuery", "o")
         exact = q.join(same, ["normalizedQuery", "o"]).withColumn("family", F.col("normalizedQuery")).withColumn("kind", F.lit("exact-query"))
-        distinct = q.groupBy("normalizedQuery", "o").agg(F.max_by(F.struct("symbolId", "object", "fields", "filterShape", "semantics"), "at").alias("l")).select("normalizedQuery", "o", "l.*")
+        distinct = q.groupBy("normalizedQuery", "o").agg(F.max_by(F.struct("symbolId", "object", "fields", "filterShape", "semantics", "at"), "at").alias("l")).select("normalizedQuery", "o", "l.*")
         shape = F.concat_ws("|", "semantics", "filterShape")
-        groups = fam.selector_families(distinct.withColumn("shape", shape).withColumn("member", F.concat_ws("|", "o", "normalizedQuery")), ["semantics"], "member", "fields", "shape")
+        groups = fam.selector_families(distinct.withColumn("shape", shape).withColumn("member", F.concat_ws("|", "o", "normalizedQuery")), ["semantics"], "member", "fields", "shape", local=PROJECT)
         selector = distinct.withColumn("member", F.concat_ws("|", "o", "normalizedQuery")).join(groups, "member").withColumn("kind", F.lit("selector-family"))
-        cols = ["kind", "family", "object", "symbolId", "fields", "filterShape"]
-        every = exact.select(*cols).unionByName(selector.select(*cols)).withColumn("k", F.monotonically_increasing_id())
+        cols = ["kind", "family", "object", "symbolId", "fields", "filterShape", "at"]
+        every = stored(exact.select(*cols).unionByName(selector.select(*cols)), f"{self.path}/query-members")
         keyed = every.withColumn("key", F.concat_ws("~", "kind", "family"))
-        sets = fam.set_summary(keyed, "key", "k", "fields")
+        sets = fam.set_summary(keyed, "key", "at", "fields")
         about = keyed.groupBy("key", "kind").agg(F.min("object").alias("object"), F.count("*").alias("occurrences"), F.array_sort(F.collect_set("symbolId")).alias("symbols"), F.array_sort(F.collect_set("filterShape")).alias("shapes"))
         return about.join(sets.select("key", F.col("common").alias("commonFields"), F.col("all").alias("allFields")), "key").select(F.concat_ws("-", "kind", F.substring(F.md5("key"), 1, 8)).alias("id"), "kind", "object", "occurrences", "symbols", "commonFields", "allFields", "shapes")
 
@@ -174,18 +198,16 @@ class Project:
         keys = ["operation", "target", "allOrNone", "accessMode"]
         return d.groupBy(*keys).agg(F.count("*").alias("occurrences"), F.array_sort(F.collect_set("symbolId")).alias("symbols"), F.min("at").alias("at")).where((F.col("occurrences") >= 2) & (F.size("symbols") >= 2))
 
-    def flow(self, production_chars: int) -> dict:
-        triggers = self.code.join(self.symbols.where("kind = 'trigger'").select("id", "name", F.col("location.path").alias("path"), "sym_seq"), "path").orderBy("sym_seq").select("id", "name", "text")
-        headers = {r["id"]: src.trigger_header(r["text"], r["name"]) for r in triggers.collect()}
-        if not headers:
-            return flow.analyze(flow.Paths([], [], [], set()), {}, {}, production_chars, [], [])
+    @cached_property
+    def assessments(self) -> DataFrame:
         g = self.graph
-        automations = rows(self.texts.where("facts.automation IS NOT NULL").select("facts.automation.*"), "path")
-        sizes = {r["path"]: r["characters"] for r in self.code.select("path", "characters").collect()}
-        entries = {r[0] for r in g["entries"].select("symbolId").distinct().collect()}
-        calls = g["edges"].where("sourceId IS NOT NULL OR kind = 'metadata'").select("sourceId", "targetId", "kind", "detail", "ref_seq")
-        paths = flow.Paths(rows(self.symbols.drop("exposures"), "sym_seq"), rows(self.behaviors, "at"), rows(calls, "ref_seq"), entries)
-        return flow.analyze(paths, headers, sizes, production_chars, automations, g["blockers"])
+        triggers = self.symbols.where("kind = 'trigger'").select("id", "name", F.col("location.path").alias("path"), "sym_seq").join(self.code.select("path", "text"), "path").select("id", "name", "text", "sym_seq")
+        automations = self.texts.where("facts.automation IS NOT NULL").select("facts.automation.*")
+        closing = [(n, b["code"], b["message"], b.get("symbolId"), (b.get("location") or {}).get("path")) for n, b in enumerate(g["blockers"]) if b["blocksClosedWorldConclusion"]]
+        blockers = self.spark.createDataFrame(closing, "n int, code string, message string, symbolId string, path string")
+        entries = g["entries"].where("NOT testOnly").select(F.col("symbolId").alias("node")).distinct()
+        found = flow.assessments(triggers, self.symbols, self.behaviors, g["edges"], entries, self.code.select("path", "characters"), automations, blockers)
+        return stored(found, f"{self.path}/assessments")
 
     def findings(self) -> list[dict]:
         """Names that are declared twice, and diagnostics of test files."""
@@ -215,76 +237,100 @@ class Project:
         e = e.join(mark(g["reached"].where("reachability = 'unreachable'").select("id"), "sourceId", "c"), "sourceId", "left")
         return e.where("kind = 'metadata' OR on_path OR a OR b OR c").drop("on_path", "a", "b", "c")
 
-    def report(self, full_graph: bool = False) -> dict:
-        g, s = self.graph, self.symbols
+    def inventory(self) -> dict:
         test = F.col("first_test")
         total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
-        inv = self.files.agg(
-            F.count("*").alias("apexFiles"), total("characters", ~test).alias("productionApexCharacters"), total("bytes", ~test).alias("productionApexBytes"), total("characters", test).alias("testApexCharacters"), total("bytes", test).alias("testApexBytes"),
-            F.coalesce(F.sum("characters"), F.lit(0)).alias("apexCharacters"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("apexBytes"),
-        ).first().asDict()
-        inv |= {"root": str(self.root), "sourceRoots": [str(p.resolve().relative_to(self.root)) or "." for p in src.source_roots(self.root)], "metadataFiles": self.texts.count()}
-        production = inv["productionApexCharacters"]
+        every = F.lit(True)
+        found = self.files.agg(F.count("*").alias("apexFiles"), *(total(c, when).alias(f"{name}Apex{c.title()}") for name, when in (("production", ~test), ("test", test)) for c in ("characters", "bytes")), *(total(c, every).alias(f"apex{c.title()}") for c in ("characters", "bytes"))).first().asDict()
+        roots = [str(p.resolve().relative_to(self.root)) or "." for p in src.source_roots(self.root)] if self.root else ["."]
+        return found | {"root": str(self.root or ""), "sourceRoots": roots, "metadataFiles": self.texts.count()}
 
-        kinds: Column = F.col("kind").isin(*TYPES)
+    def summary(self) -> dict:
+        n = lambda when: F.coalesce(F.sum(F.when(when, 1)), F.lit(0))
+        total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+        kinds, code, g = F.col("kind").isin(*TYPES), F.col("kind").isin("method", "constructor"), self.graph
+        counts, by, c, entries, edges = together(
+            lambda: self.symbols.agg(F.count("*").alias("symbols"), n(F.col("kind") == "class").alias("classes"), n(code).alias("methods")).first().asDict(),
+            lambda: {r["reachability"]: r["count"] for r in g["reached"].groupBy("reachability").count().collect()},
+            lambda: self.candidates.agg(n(kinds).alias("candidateClasses"), n(code).alias("candidateMethods"), total("sourceCharacters", kinds).alias("candidateClassCharacters"), total("sourceBytes", kinds).alias("candidateClassBytes")).first().asDict(),
+            lambda: g["entries"].count(), lambda: g["edges"].count(),
+        )
+        # a construction of a type of the project always leads to a constructor or the type itself, and nothing else counts as unresolved
+        return counts | {"entryPoints": entries, "resolvedReferences": edges, "unresolvedReferences": 0, "productionReachable": by.get("production", 0), "testOnlyReachable": by.get("test-only", 0), "unreachable": by.get("unreachable", 0)} | c
+
+    def clone_totals(self) -> dict:
+        """Characters and tokens of production, covered by clones, and of those beyond each family's first."""
+        places = clones.token_places(self.production)
+        more = self.occurrences.where("place > 0")
+        chars = lambda df: int(clones.covered(df).agg(F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0))).first()[0])
+        inside = lambda df: clones.tokens_within(clones.covered(df), places).first()[0]
+        coverage, repeated, tokens, covered, doubled = together(lambda: chars(self.occurrences), lambda: chars(more), lambda: places.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0], lambda: inside(self.occurrences), lambda: inside(more))
+        return {"cloneCoverageCharacters": coverage, "duplicatedCharacters": repeated, "productionTokens": tokens, "cloneCoverageTokens": covered, "duplicatedTokens": doubled}
+
+    def clone_groups(self) -> list[dict]:
+        bodies = self.clone_members[0]
+        found, texts = together(
+            lambda: rows(clones.groups(self.occurrences), F.desc("duplicatedCharacters"), "id"),
+            lambda: {r["id"]: r["texts"] for r in bodies.join(self.occurrences.select("id").distinct(), "id").select("id", "texts").collect()},
+        )
+        return [g | {"differences": clones.differences(g["kind"], [texts[o["symbolId"]][o["first"] : o["last"] + 1] for o in g["occurrences"]])} for g in found]
+
+    def deprecation(self) -> tuple[dict, dict]:
+        """Files of candidate types, and candidate members of other types: how many, and their characters."""
+        tops = self.candidates.where(F.col("kind").isin(*TYPES)).select("symbolId", "location.path")
+        whole = tops.select("path").distinct().join(self.code.select("path", "characters"), "path")
+        under = self._owners().join(tops.select(F.col("symbolId").alias("ancestor")), "ancestor").select(F.col("node").alias("symbolId")).distinct()
+        loose = self.candidates.where("kind IN ('method', 'constructor')").join(under, "symbolId", "left_anti")
+        counted = lambda df, c: df.agg(F.count("*").alias("n"), F.coalesce(F.sum(c), F.lit(0)).alias("c")).first().asDict()
+        return tuple(together(lambda: counted(whole, "characters"), lambda: counted(loose, "sourceCharacters")))
+
+    def report(self, full_graph: bool = False) -> dict:
+        self.prepare()
+        g, s = self.graph, self.symbols
         n = lambda when: F.sum(F.when(when, 1).otherwise(0))
-        counts = s.agg(F.count("*").alias("symbols"), F.coalesce(n(F.col("kind") == "class"), F.lit(0)).alias("classes"), F.coalesce(n(F.col("kind").isin("method", "constructor")), F.lit(0)).alias("methods")).first().asDict()
-        by = {r["reachability"]: r["count"] for r in g["reached"].groupBy("reachability").count().collect()}
-        c = self.candidates.agg(*(F.coalesce(x, F.lit(0)).alias(k) for k, x in (("candidateClasses", n(kinds)), ("candidateMethods", n(F.col("kind").isin("method", "constructor"))), ("candidateClassCharacters", F.sum(F.when(kinds, F.col("sourceCharacters")))), ("candidateClassBytes", F.sum(F.when(kinds, F.col("sourceBytes"))))))).first().asDict()
-        summary = counts | {"entryPoints": g["entries"].count(), "resolvedReferences": g["edges"].count(), "unresolvedReferences": 0, "productionReachable": by.get("production", 0), "testOnlyReachable": by.get("test-only", 0), "unreachable": by.get("unreachable", 0)} | c
-
-        bodies, occurrences = self.clone_rows
-        chars = lambda df: df.agg(F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0))).first()[0]
-        spans = lambda df: int(chars(clones.covered(df)))
-        coverage, repeated = spans(occurrences), spans(occurrences.where("place > 0"))
-        places = stored(clones.token_places(self.production), f"{self.path}/tokens")
-        tokens = places.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
-        within = [clones.tokens_within(clones.covered(df), places).first()[0] for df in (occurrences, occurrences.where("place > 0"))]
-        by_id = {r["id"]: r["texts"] for r in bodies.join(occurrences.select("id").distinct(), "id").select("id", "texts").collect()}
-        blocked = [r[0] for r in self.production.where(F.size("facts.diagnostics") > 0).select("path").orderBy("path").collect()]
-        gaps = rows(self._observed("dynamicQueryGaps").drop("at"))
+        tests, named = F.col("testCode"), F.col("referencedByName")
+        inv, summary, totals, groups, blocked, gaps, query_families, dml_families, a, audit_rows, tested, (whole, loose), findings, reached, edges, entries, candidates, exposures, diagnostics, symbols, verdicts = together(
+            self.inventory, self.summary, self.clone_totals, self.clone_groups,
+            lambda: [r[0] for r in self.production.where(F.size("facts.diagnostics") > 0).select("path").orderBy("path").collect()],
+            lambda: rows(self._observed("dynamicQueryGaps"), "at"), lambda: rows(self.query_families(), F.desc("occurrences"), "id"), lambda: rows(self.dml_families(), "at"),
+            lambda: self.audit.agg(n(~tests).alias("p"), n(tests).alias("t"), n(~tests & ~named).alias("u"), F.sum(F.when(~named, F.col("characters"))).alias("c")).first(),
+            lambda: rows(self.audit, F.collate("path", "UNICODE")), lambda: self.files.where("first_test").count(), self.deprecation, self.findings,
+            lambda: rows(g["reached"], "id"), lambda: rows((g["edges"] if full_graph else self.evidence()).drop("ref_seq", "passed"), "location.path", "location.line", "location.column"),
+            lambda: rows(g["entries"].drop("seq"), "location.path", "location.line", "location.column"), lambda: rows(self.candidates, F.desc("sourceBytes"), F.collate("qualifiedName", "UNICODE")),
+            lambda: rows(self._rows("exposures", "at").drop("at")), lambda: rows(self._rows("diagnostics"), "path", "line", "column"), lambda: rows(s.drop("sym_seq"), "location.path", "location.line", "qualifiedName"),
+            lambda: rows(self.assessments),
+        )
+        production = inv["productionApexCharacters"]
         share = lambda part: flow.percent(part, production)
-        duplicates = {
-            "coverage": {"status": "blocked" if blocked else "complete", "blockedFiles": blocked, "testFilesExcluded": self.files.where("first_test").count()},
-            "productionTokens": tokens, "cloneCoverageTokens": within[0], "cloneCoverageTokenPercent": flow.percent(within[0], tokens), "duplicatedTokens": within[1], "duplicatedTokenPercent": flow.percent(within[1], tokens), "cloneCoverageCharacters": coverage, "cloneCoverageCharacterPercent": share(coverage), "duplicatedCharacters": repeated, "duplicatedCharacterPercent": share(repeated),
-            "cloneGroups": [g | {"differences": clones.differences(g["kind"], [by_id[o["symbolId"]][o["first"] : o["last"] + 1] for o in g["occurrences"]])} for g in rows(clones.groups(occurrences), F.desc("duplicatedCharacters"), "id")], "queryFamilies": rows(self.query_families(), F.desc("occurrences"), "id"),
-            "queryCoverage": {"status": "blocked" if gaps else "complete", "unresolvedDynamicQueries": gaps}, "dmlFamilies": rows(self.dml_families(), "at"),
+        tokens, coverage, repeated = totals["productionTokens"], totals["cloneCoverageCharacters"], totals["duplicatedCharacters"]
+        duplicates = totals | {
+            "coverage": {"status": "blocked" if blocked else "complete", "blockedFiles": blocked, "testFilesExcluded": tested},
+            "cloneCoverageTokenPercent": flow.percent(totals["cloneCoverageTokens"], tokens), "duplicatedTokenPercent": flow.percent(totals["duplicatedTokens"], tokens), "cloneCoverageCharacterPercent": share(coverage), "duplicatedCharacterPercent": share(repeated),
+            "cloneGroups": groups, "queryFamilies": query_families, "dmlFamilies": dml_families,
+            "queryCoverage": {"status": "blocked" if gaps else "complete", "unresolvedDynamicQueries": [{k: v for k, v in x.items() if k != "at"} for x in gaps]},
             "algorithm": {"minimumFragmentTokens": kernels.FRAGMENT, "minimumMethodTokens": clones.LEAST_TOKENS, "nearMissSimilarity": similarity.STRONG, "nearMissBroadSimilarity": similarity.BROAD, "nearMissBroadMinimumTokens": similarity.BROAD_TOKENS, "testCodeExcluded": True, "overlappingIntervalsDeduplicated": True},
         }
-        a = self.audit.agg(n(~F.col("testCode")).alias("p"), n(F.col("testCode")).alias("t"), n(~F.col("testCode") & ~F.col("referencedByName")).alias("u"), F.sum(F.when(~F.col("referencedByName"), F.col("characters"))).alias("c")).first()
         lost = int(a["c"] or 0)
-        audit = {"productionClasses": a["p"] or 0, "testClasses": a["t"] or 0, "unreferencedProductionClasses": a["u"] or 0, "referencedProductionClasses": (a["p"] or 0) - (a["u"] or 0), "unreferencedProductionCharacters": lost, "unreferencedProductionPercent": share(lost), "entries": rows(self.audit.drop("text"), F.collate("path", "UNICODE"))}
-
-        migration = self.flow(production)
-        tops = self.candidates.where(kinds).select("symbolId", "location.path")
-        whole = tops.select("path").distinct().join(self.code.select("path", "characters"), "path").agg(F.count("*").alias("n"), F.coalesce(F.sum("characters"), F.lit(0)).alias("c")).first()
-        owners = self._owners()
-        inner = self.candidates.where("kind IN ('method', 'constructor')")
-        under = owners.join(tops.select(F.col("symbolId").alias("ancestor")), "ancestor").select(F.col("node").alias("symbolId")).distinct()
-        loose = inner.join(under, "symbolId", "left_anti").agg(F.count("*").alias("n"), F.coalesce(F.sum("sourceCharacters"), F.lit(0)).alias("c")).first()
+        audit = {"productionClasses": a["p"] or 0, "testClasses": a["t"] or 0, "unreferencedProductionClasses": a["u"] or 0, "referencedProductionClasses": (a["p"] or 0) - (a["u"] or 0), "unreferencedProductionCharacters": lost, "unreferencedProductionPercent": share(lost), "entries": audit_rows}
+        migration = flow.summary(verdicts, production)
         gone = min(production, whole["c"] + loose["c"])
         executive = {
             "productionCharacters": production, "deprecationCandidateCharacters": gone, "deprecationCandidatePercent": share(gone), "retainedCharacters": max(0, production - gone), "retainedPercent": share(max(0, production - gone)),
             "topLevelCandidateFiles": whole["n"], "internalRefactorCandidates": loose["n"],
-            "redundancy": {"coveredCharacters": coverage, "coveredPercent": share(coverage), "duplicatedCharacters": repeated, "duplicatedPercent": share(repeated), "cloneGroups": len(duplicates["cloneGroups"]), "queryFamilies": len(duplicates["queryFamilies"])},
+            "redundancy": {"coveredCharacters": coverage, "coveredPercent": share(coverage), "duplicatedCharacters": repeated, "duplicatedPercent": share(repeated), "cloneGroups": len(groups), "queryFamilies": len(query_families)},
             "flowAutomation": {k: migration[k] for k in ("eligibleTriggers", "reclaimableCharacters", "reclaimablePercent")},
         }
-        reached = rows(g["reached"], "id")
-        edges = g["edges"] if full_graph else self.evidence()
         return {
             "schemaVersion": SCHEMA_VERSION, "tool": {"name": "quarry", "version": __version__}, "generatedAt": datetime.datetime.now(datetime.UTC).isoformat(), "inventory": inv, "summary": summary,
-            "topLevelClassNameAudit": audit, "executive": executive, "revision": src.revision(self.root), "duplicates": duplicates, "flowMigration": migration,
+            "topLevelClassNameAudit": audit, "executive": executive, "revision": src.revision(self.root) if self.root else {"available": False}, "duplicates": duplicates, "flowMigration": migration,
             "analysis": {"universe": "repository", "assumption": "All code and metadata that make production calls are in the analyzed package directories; callers elsewhere are outside this result.",
-                         "status": "blocked" if any(b["blocksClosedWorldConclusion"] for b in g["blockers"]) else "complete", "blockers": g["blockers"], "findings": self.findings()},
-            "symbols": rows(s.drop("sym_seq"), "location.path", "location.line", "qualifiedName"), "references": rows(edges.drop("ref_seq"), "location.path", "location.line", "location.column"),
-            "entryPoints": rows(g["entries"].drop("seq"), "location.path", "location.line", "location.column"), "reachability": {r["id"]: r["reachability"] for r in reached}, "evidencePaths": {r["id"]: r["path"] for r in reached},
-            "candidates": rows(self.candidates, F.desc("sourceBytes"), F.collate("qualifiedName", "UNICODE")), "exposures": rows(self._rows("exposures")), "diagnostics": rows(self._rows("diagnostics"), "path", "line", "column"),
+                         "status": "blocked" if any(b["blocksClosedWorldConclusion"] for b in g["blockers"]) else "complete", "blockers": g["blockers"], "findings": findings},
+            "symbols": symbols, "references": edges, "entryPoints": entries, "reachability": {r["id"]: r["reachability"] for r in reached}, "evidencePaths": {r["id"]: r["path"] for r in reached},
+            "candidates": candidates, "exposures": exposures, "diagnostics": diagnostics,
         }
 
     def _owners(self) -> DataFrame:
-        from quarry.operators.graph import closure
-
-        return closure(self.symbols.where("ownerId IS NOT NULL").select(F.col("id").alias("node"), F.col("ownerId").alias("parent")))
+        return closure(self.symbols.where("ownerId IS NOT NULL").select(F.col("id").alias("node"), F.col("ownerId").alias("parent")), local=PROJECT)
 
 
 def analyze_project(spark: SparkSession, path: str, include: list[str] | None = None, exclude: list[str] | None = None, full_graph: bool = False) -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import normalize_name, simple_type_name
-from quarry.operators.graph import closure, reach
+from quarry.operators.graph import PROJECT, closure, reach
 from quarry.sources.apex import PLATFORM_CALLBACKS
 
 # Receivers that are the platform's.
@@ -37,7 +37,7 @@ def subtypes(symbols: DataFrame, keys: DataFrame) -> DataFrame:
     """type, sub: each type with itself and all that extend or implement it."""
     bases = F.explode(F.filter(F.concat("interfaces", F.array("superclass")), lambda x: x.isNotNull())).alias("base")
     direct = named(symbols.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("node"), bases), "base", keys)
-    every = closure(direct.select("node", F.col("type").alias("parent")))
+    every = closure(direct.select("node", F.col("type").alias("parent")), local=PROJECT)
     selves = symbols.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("type"), F.col("id").alias("sub"))
     return selves.unionByName(every.select(F.col("ancestor").alias("type"), F.col("node").alias("sub"))).distinct()
 
@@ -82,8 +82,8 @@ def edges_of(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """References with targetId and resolution, a row for each target; those that lead nowhere are left out."""
     n = F.count("*").over(Window.partitionBy("ref_seq"))
     found = resolve(symbols, refs).withColumn("resolution", F.when(n == 1, "exact").otherwise("conservative"))
-    own = refs.select("ref_seq", "sourceId", "kind", "testContext", "location", "detail", "arguments")
-    return own.join(found, "ref_seq").select("ref_seq", "sourceId", F.col("target").alias("targetId"), "kind", "resolution", "testContext", "location", "detail", "arguments")
+    own = refs.select("ref_seq", "sourceId", "kind", "testContext", "location", "detail", "arguments", "passed")
+    return own.join(found, "ref_seq").select("ref_seq", "sourceId", F.col("target").alias("targetId"), "kind", "resolution", "testContext", "location", "detail", "arguments", "passed")
 
 
 def entries_of(declared: DataFrame, edges: DataFrame) -> DataFrame:
@@ -102,8 +102,8 @@ def classify(symbols: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFr
     links = edges.where("sourceId IS NOT NULL").select(F.col("sourceId").alias("source"), F.col("targetId").alias("target"), F.col("ref_seq").alias("slot"))
     graph = owner.unionByName(links).groupBy("source", "target").agg(F.min("slot").alias("slot"))
     seeds = lambda own: own.select(F.col("symbolId").alias("node"), F.col("seq").alias("rank"))
-    live = reach(graph, seeds(entries.where("NOT testOnly")), paths=True).select(F.col("node").alias("id"), F.col("path").alias("live"))
-    tested = reach(graph, seeds(entries), paths=True).select(F.col("node").alias("id"), F.col("path").alias("tested"))
+    live = reach(graph, seeds(entries.where("NOT testOnly")), paths=True, local=PROJECT).select(F.col("node").alias("id"), F.col("path").alias("live"))
+    tested = reach(graph, seeds(entries), paths=True, local=PROJECT).select(F.col("node").alias("id"), F.col("path").alias("tested"))
     both = symbols.select("id").join(live, "id", "left").join(tested, "id", "left")
     value = F.when(F.col("live").isNotNull(), "production").when(F.col("tested").isNotNull(), "test-only").otherwise("unreachable")
     return both.select("id", value.alias("reachability"), F.coalesce("live", "tested", F.array().cast("array<string>")).alias("path"))

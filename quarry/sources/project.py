@@ -5,15 +5,17 @@ from __future__ import annotations
 import json
 import re
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from quarry.functions import utf16_length
 from quarry.sources import apex, metadata
-from quarry.sources.strings import utf16
 
 # The files that count, and those that never do.
 CODE_SUFFIXES = ("cls", "trigger")
@@ -23,7 +25,7 @@ IGNORED_ENDS = (".test.js", ".spec.js")
 
 LOCATION = "struct<path:string,line:int,column:int,endLine:int,endColumn:int>"
 SYMBOL = f"struct<id:string,kind:string,name:string,qualifiedName:string,ownerId:string,arity:int,parameterTypes:array<string>,parameterNames:array<string>,modifiers:array<string>,annotations:array<string>,interfaces:array<string>,superclass:string,testCode:boolean,location:{LOCATION},sourceCharacters:bigint,sourceBytes:bigint>"
-REFERENCE = f"struct<sourceId:string,kind:string,memberName:string,arity:int,arguments:array<string>,receiver:string,receiverType:string,targetType:string,testContext:boolean,location:{LOCATION},detail:string>"
+REFERENCE = f"struct<sourceId:string,kind:string,memberName:string,arity:int,arguments:array<string>,passed:array<string>,receiver:string,receiverType:string,targetType:string,testContext:boolean,location:{LOCATION},detail:string>"
 ENTRY = f"struct<symbolId:string,source:string,reason:string,testOnly:boolean,location:{LOCATION}>"
 BLOCKER = f"struct<code:string,scope:string,message:string,blocksClosedWorldConclusion:boolean,symbolId:string,repositoryMetadataField:string,dynamicExpression:string,location:{LOCATION}>"
 EXPOSURE = f"struct<kind:string,symbolId:string,reason:string,location:{LOCATION}>"
@@ -47,13 +49,30 @@ def source_roots(root: Path) -> list[Path]:
     return found or [root]
 
 
-def ignored(path: str, exclude: list[str]) -> bool:
-    parts = path.split("/")
-    return any(p in IGNORED_FOLDERS for p in parts[:-1]) or path.endswith(IGNORED_ENDS) or any(Path(path).full_match(pattern) for pattern in exclude)
+def glob_pattern(glob: str) -> str:
+    """A glob as a pattern of whole paths: ** is any folders, * and ? stay in a name, [...] is a set."""
+    kinds = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    piece = lambda m: kinds.get(m[0]) or (m[0].replace("[!", "[^") if m[0][0] == "[" and len(m[0]) > 1 else re.escape(m[0]))
+    return "^" + re.sub(r"\*\*/|\*\*|\*|\?|\[[^\]]+\]|.", piece, glob) + "$"
+
+
+def chosen(found: DataFrame, exclude: list[str] = (), include: list[str] | None = None) -> DataFrame:
+    """path, kind (code or text), text, seq, of files (path, text): what counts, ordered by Unicode collation of paths."""
+    escaped = lambda words: "|".join(re.escape(w) for w in words)
+    path = F.col("path")
+    counts = path.rlike(rf"\.({escaped(CODE_SUFFIXES + TEXT_SUFFIXES)})$") & ~path.rlike(rf"(^|/)({escaped(IGNORED_FOLDERS)})/") & ~path.rlike(rf"({escaped(IGNORED_ENDS)})$")
+    for glob in exclude:
+        counts &= ~path.rlike(glob_pattern(glob))
+    code = path.rlike(rf"\.({escaped(CODE_SUFFIXES)})$")
+    picked = path.rlike("|".join(map(glob_pattern, include))) if include else F.lit(True)
+    named = found.select("path", "text").where(counts & (picked | ~code)).dropDuplicates(["path"]).withColumn("kind", F.when(code, "code").otherwise("text"))
+    # paths alone are put in order, not texts
+    order = named.select("path", F.row_number().over(Window.partitionBy("kind").orderBy(F.collate("path", "UNICODE"))).alias("seq"))
+    return named.join(order, "path").select("path", "kind", "text", "seq")
 
 
 def files(spark: SparkSession, root: Path, exclude: list[str] = (), include: list[str] | None = None) -> DataFrame:
-    """path (from the root), kind (code or text), text, seq: what counts, ordered by Unicode collation. Read by executors."""
+    """See chosen(); paths are from the root. Read by executors."""
     root = root.resolve()
     roots = [str(r.resolve()) for r in source_roots(root) if r.exists() and r.resolve().is_relative_to(root)]
     if not roots:
@@ -61,32 +80,31 @@ def files(spark: SparkSession, root: Path, exclude: list[str] = (), include: lis
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(CODE_SUFFIXES + TEXT_SUFFIXES) + "}")
     found = read.load(sorted(set(roots))).select(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/*", "/").alias("full"), F.decode("content", "UTF-8").alias("text"))
     relative = F.substring("full", len(str(root)) + 2, 1 << 20)
-    wanted = F.udf(lambda p: not ignored(p, list(exclude)), "boolean")
-    chosen = F.udf(lambda p: any(Path(p).full_match(g) for g in include), "boolean") if include else None
-    named = found.select(relative.alias("path"), "text").where(wanted("path")).dropDuplicates(["path"])
-    code = F.col("path").rlike(r"\.(cls|trigger)$") & (chosen("path") if include else F.lit(True))
-    kinds = named.withColumn("kind", F.when(code, "code").when(~F.col("path").rlike(r"\.(cls|trigger)$"), "text")).where("kind IS NOT NULL")
-    return kinds.withColumn("seq", F.row_number().over(Window.partitionBy("kind").orderBy(F.collate("path", "UNICODE")))).select("path", "kind", "text", "seq")
+    return chosen(found.select(relative.alias("path"), "text"), exclude, include)
+
 
+def _read(all_files: DataFrame, kind: str, read: Callable[[str, str], dict], facts: str) -> DataFrame:
+    """path, seq, text and facts of the files of a kind: read in Arrow batches, about as many files in each task."""
+    schema = f"path string, seq int, text string, facts {facts}"
+    shape = to_arrow_schema(StructType.fromDDL(schema))
 
-def _facts(read, kind: str):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "seq": b["seq"], "text": b["text"], "json": [json.dumps(read(t, p)) for p, t in zip(b["path"], b["text"], strict=True)], "chars": list(map(utf16, b["text"]))})
+            found = [read(t, p) for p, t in zip(b["path"].to_pylist(), b["text"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["path"], b["seq"], b["text"], pa.array(found, shape.field("facts").type)], schema=shape)
 
-    return lambda df: df.where(F.col("kind") == kind).select("path", "seq", "text").mapInPandas(rows, "path string, seq int, text string, json string, chars long")
+    return all_files.where(F.col("kind") == kind).select("path", "seq", "text").repartition(all_files.sparkSession.sparkContext.defaultParallelism, "seq").mapInArrow(rows, schema)
 
 
 def code_facts(all_files: DataFrame) -> DataFrame:
     """path, seq, text, characters, bytes, and facts: a row for each code file."""
-    df = _facts(apex.extract, "code")(all_files)
-    return df.select("path", "seq", "text", F.col("chars").alias("characters"), F.octet_length("text").cast("long").alias("bytes"), F.from_json("json", CODE_FACTS).alias("facts"))
+    df = _read(all_files, "code", apex.extract, CODE_FACTS)
+    return df.select("path", "seq", "text", utf16_length(F.col("text")).alias("characters"), F.octet_length("text").cast("long").alias("bytes"), "facts")
 
 
 def text_facts(all_files: DataFrame) -> DataFrame:
     """path, seq and facts: a row for each metadata file."""
-    df = _facts(metadata.facts, "text")(all_files)
-    return df.select("path", "seq", F.from_json("json", TEXT_FACTS).alias("facts"))
+    return _read(all_files, "text", metadata.facts, TEXT_FACTS).select("path", "seq", "facts")
 
 
 def revision(root: Path) -> dict:
@@ -96,10 +114,3 @@ def revision(root: Path) -> dict:
         return {"available": True, "branch": git("rev-parse", "--abbrev-ref", "HEAD"), "commit": git("rev-parse", "HEAD"), "dirty": bool(git("status", "--porcelain"))}
     except (OSError, subprocess.SubprocessError):
         return {"available": False}
-
-
-def trigger_header(text: str, fallback: str) -> dict:
-    """Name, object and events of a trigger."""
-    m = re.search(r"\btrigger\s+([A-Za-z_]\w*)\s+on\s+([A-Za-z_]\w*)\s*\(([^)]+)\)", text, re.I)
-    events = [e.strip().lower() for e in m[3].split(",") if e.strip()] if m else []
-    return {"name": m[1] if m else fallback, "object": m[2] if m else "unknown", "events": events}
