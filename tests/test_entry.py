@@ -3,12 +3,14 @@
 import os
 import subprocess
 import sys
+from functools import cache
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarry.plans import corpus_queries
+from quarry.plans import corpus_queries, tree_queries
+from quarry.plans.project import Project
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,9 +32,16 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module")
+def tree(spark):
+    """One analysis for all queries over it."""
+    return cache(lambda: Project(spark, files=tree_queries.files(spark, SF)))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", sorted(corpus_queries.SQL))
-def test_query_equals_sql(spark, duck, name):
+@pytest.mark.parametrize("name", sorted(corpus_queries.SQL | tree_queries.SQL))
+def test_query_equals_sql(spark, duck, tree, monkeypatch, name):
+    monkeypatch.setattr(tree_queries, "project", lambda *_: tree())
     frame = entry.queries()[name](spark, SF)
     names = sorted(frame.columns)
     cursor = duck.execute(entry.oracle_sql()[name])
