@@ -502,11 +502,11 @@ def page_bundle_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH k AS (SELECT DISTINCT lower(n_name) AS name FROM nation UNION SELECT DISTINCT w FROM (SELECT unnest({WORDS_SQL}) AS w FROM benchmark WHERE item_id < 5) WHERE length(w) >= 9), d AS (SELECT DISTINCT doc_id, unnest({WORDS_SQL}) AS name FROM documents)
+WITH k AS (SELECT DISTINCT lower(n_name) AS name FROM nation UNION SELECT DISTINCT w FROM (SELECT unnest({WORDS_SQL}) AS w FROM benchmark) WHERE length(w) >= 9), d AS (SELECT DISTINCT doc_id, unnest({WORDS_SQL}) AS name FROM documents)
 SELECT doc_id, name FROM d JOIN k USING (name)""")
 def known_value_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known names in documents: every word once, joined to the names. Of benchmark, only the words of items 0 to 4 count, as in the SQL."""
-    passages = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.explode(words()).alias("name")).where(F.length("name") >= 9)
+    """Known names in documents: every word once, joined to the names of nations and the long words of all benchmark items."""
+    passages = table(spark, sf_dir, "benchmark").select(F.explode(words()).alias("name")).where(F.length("name") >= 9)
     known = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).unionByName(passages).distinct()
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(words())).alias("name")).join(known, "name").select("doc_id", "name")
 
