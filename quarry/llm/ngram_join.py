@@ -32,6 +32,8 @@ from quarry.llm.token_store import sliced
 from quarry.operators.components import connected_components
 
 WORDS, BANDS, ROWS, BLOCK, BLOCK_BYTES = 5, 32, 6, 256, 16_000_000
+#: Nodes in groups whose places are broadcast (about 150 bytes each), so that only their texts move; more are joined by a shuffle.
+FEW = 200_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Added to the hash of a shingle's first, second, ... word.
 _PLACES = _MIX * np.arange(1, WORDS + 1, dtype=np.uint64)
@@ -167,6 +169,8 @@ class NgramJoin:
         sizes = groups.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / block_bytes)).cast("int").alias("blocks"))
         placed = groups.join(stored(sizes, f"{self.path}/sizes"), "component")
         placed = placed.select("node", "component", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"), "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.key").alias("rep_key"))
+        if groups.limit(FEW + 1).count() <= FEW:
+            placed = F.broadcast(placed)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), text_of()).alias("key"), text_of().alias("text"))
         met = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key")))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
