@@ -105,8 +105,13 @@ class Project:
         ]
         return rows(self._rows("blockers", "at"), "at") + parse
 
-    def _graph(self, refs: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        edges = stored(reachability.edges_of(self.symbols, refs), f"{self.path}/{name}-edges")
+    @cached_property
+    def names(self) -> reachability.Names:
+        return reachability.Names.of(self.symbols, self.path)
+
+    def _graph(self, edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """edges, stored, with the entries and the reachability that they make."""
+        edges = stored(edges, f"{self.path}/{name}-edges")
         declared = self._rows("entries", "seq").select("symbolId", "source", "reason", "testOnly", "location", "seq")
         entries = stored(reachability.entries_of(declared, edges), f"{self.path}/{name}-entries")
         return edges, entries, stored(reachability.classify(self.symbols, edges, entries), f"{self.path}/{name}-reached")
@@ -122,7 +127,7 @@ class Project:
     @cached_property
     def graph(self) -> dict:
         """edges, entries, reached, blockers: after class names that can be proven have become references."""
-        edges, entries, reached = self._graph(self.raw_refs, "first")
+        edges, entries, reached = self._graph(reachability.edges_of(self.names, self.raw_refs), "first")
         blockers = self.blockers_found
         if any(b["code"] == "dynamic-type" for b in blockers):
             live = {r["id"]: r["reachability"] for r in reached.select("id", "reachability").collect()}
@@ -133,9 +138,10 @@ class Project:
             values = provenance.Values(rows(names, "sym_seq"), rows(provenance.bindings_of(self.behaviors)), rows(returns), rows(calls, "ref_seq"), entry_ids, live)
             blockers, made = provenance.resolve(values, blockers, live, self.configured)
             if made:
-                fields = "sourceId string, kind string, targetType string, testContext boolean, location " + src.LOCATION + ", detail string"
-                added = self.spark.createDataFrame([{**m, "location": {**m["location"], "endLine": None, "endColumn": None}} for m in made], fields).withColumn("ref_seq", F.lit(1 << 57) + F.monotonically_increasing_id())
-                edges, entries, reached = self._graph(stored(self.raw_refs.unionByName(added, allowMissingColumns=True), f"{self.path}/refs"), "last")
+                fields = "sourceId string, kind string, targetType string, testContext boolean, location " + src.LOCATION + ", detail string, ref_seq long"
+                added = self.spark.createDataFrame([{**m, "location": {**m["location"], "endLine": None, "endColumn": None}, "ref_seq": (1 << 57) + i} for i, m in enumerate(made)], fields)
+                added = self.raw_refs.limit(0).unionByName(added, allowMissingColumns=True)
+                edges, entries, reached = self._graph(edges.unionByName(reachability.edges_of(self.names, added)), "last")
         live = {r["id"] for r in reached.where("reachability = 'production'").select("id").collect()}
         return {"edges": edges, "entries": entries, "reached": reached, "blockers": [b for b in blockers if b.get("symbolId") is None or b["symbolId"] in live]}
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import normalize_name, simple_type_name
 from quarry.operators.graph import PROJECT, closure, reach
+from quarry.plans.stages import stored
 from quarry.sources.apex import PLATFORM_CALLBACKS
 
 # Receivers that are the platform's.
@@ -42,22 +44,37 @@ def subtypes(symbols: DataFrame, keys: DataFrame) -> DataFrame:
     return selves.unionByName(every.select(F.col("ancestor").alias("type"), F.col("node").alias("sub"))).distinct()
 
 
-def resolve(symbols: DataFrame, refs: DataFrame) -> DataFrame:
+class Names(NamedTuple):
+    """What names lead to: types by name, their members, and types with those under them."""
+
+    keys: DataFrame
+    members: DataFrame
+    types: DataFrame
+    under: DataFrame
+
+    @classmethod
+    def of(cls, symbols: DataFrame, path: str) -> Names:
+        """Stored once, because references of every kind ask them."""
+        keys = stored(type_keys(symbols), f"{path}/keys")
+        members = symbols.where("ownerId IS NOT NULL").select(F.col("ownerId").alias("type"), normalize_name(F.col("name")).alias("m"), F.col("arity").alias("n"), F.col("id").alias("target"), "modifiers", "annotations", "kind")
+        types = symbols.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("type"), normalize_name(F.col("name")).alias("m"), "interfaces")
+        return cls(keys, stored(members, f"{path}/members"), stored(types, f"{path}/types"), stored(subtypes(symbols, keys), f"{path}/under"))
+
+
+def resolve(known: Names, refs: DataFrame) -> DataFrame:
     """ref_seq, target: what each reference leads to, by its kind."""
-    keys = type_keys(symbols)
-    members = symbols.where("ownerId IS NOT NULL").select(F.col("ownerId").alias("type"), normalize_name(F.col("name")).alias("m"), F.col("arity").alias("n"), F.col("id").alias("target"), "modifiers", "annotations", "kind")
+    keys, members, names, under = known
     out = lambda df: df.select("ref_seq", "target")
 
     simple = refs.where("kind IN ('type', 'inheritance') AND targetType IS NOT NULL")
     typed = named(simple.select("ref_seq", "targetType"), "targetType", keys).select("ref_seq", F.col("type").alias("target"))
 
     made = named(refs.where("kind = 'construct' AND targetType IS NOT NULL").select("ref_seq", "targetType", "arity"), "targetType", keys)
-    names = symbols.select(F.col("id").alias("type"), normalize_name(F.col("name")).alias("m"), "interfaces")
     constructors = out(made.join(names.select("type", "m"), "type").join(members, ["type", "m"]).where("n = arity"))
     plain = made.select("ref_seq", F.col("type").alias("target")).join(constructors.select("ref_seq").distinct(), "ref_seq", "left_anti")
     callbacks = [(i, m) for i, own in PLATFORM_CALLBACKS.items() for m in own]
-    known = symbols.sparkSession.createDataFrame(callbacks, "i string, m string")
-    called = names.select("type", F.explode("interfaces").alias("i")).withColumn("i", normalize_name(simple_type_name(F.col("i")))).join(F.broadcast(known), "i")
+    platform = refs.sparkSession.createDataFrame(callbacks, "i string, m string")
+    called = names.select("type", F.explode("interfaces").alias("i")).withColumn("i", normalize_name(simple_type_name(F.col("i")))).join(F.broadcast(platform), "i")
     called = out(made.join(called.select("type", "m"), "type").join(members, ["type", "m"]))
 
     meta = named(refs.where("kind = 'metadata' AND targetType IS NOT NULL").select("ref_seq", "targetType", "memberName", "detail"), "targetType", keys)
@@ -69,7 +86,7 @@ def resolve(symbols: DataFrame, refs: DataFrame) -> DataFrame:
 
     calls = refs.where("kind = 'call' AND memberName IS NOT NULL").select("ref_seq", "receiver", "receiverType", "arity", normalize_name(F.col("memberName")).alias("m"))
     received = named(calls.where("receiverType IS NOT NULL").select("ref_seq", "receiverType", "arity", "m"), "receiverType", keys)
-    dispatched = received.join(subtypes(symbols, keys), "type").select("ref_seq", F.col("sub").alias("type"), "arity", "m")
+    dispatched = received.join(under, "type").select("ref_seq", F.col("sub").alias("type"), "arity", "m")
     owned = out(dispatched.join(members, ["type", "m"]).where("n = arity")).distinct()
     platform = normalize_name(simple_type_name(F.coalesce("receiverType", F.lit("")))).isin(*BUILTIN_RECEIVERS)
     constructed = F.regexp_replace(F.coalesce("receiver", F.lit("")), r"\s+", "").rlike(r"(?i)^new[A-Za-z_]\w*(\.[A-Za-z_]\w*)*\(")
@@ -78,10 +95,10 @@ def resolve(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     return union(typed, constructors, plain, called, bare.select("ref_seq", F.col("type").alias("target")), more, exact, owned, anywhere).distinct()
 
 
-def edges_of(symbols: DataFrame, refs: DataFrame) -> DataFrame:
+def edges_of(known: Names, refs: DataFrame) -> DataFrame:
     """References with targetId and resolution, a row for each target; those that lead nowhere are left out."""
     n = F.count("*").over(Window.partitionBy("ref_seq"))
-    found = resolve(symbols, refs).withColumn("resolution", F.when(n == 1, "exact").otherwise("conservative"))
+    found = resolve(known, refs).withColumn("resolution", F.when(n == 1, "exact").otherwise("conservative"))
     own = refs.select("ref_seq", "sourceId", "kind", "testContext", "location", "detail", "arguments", "passed")
     return own.join(found, "ref_seq").select("ref_seq", "sourceId", F.col("target").alias("targetId"), "kind", "resolution", "testContext", "location", "detail", "arguments", "passed")
 
@@ -101,9 +118,10 @@ def classify(symbols: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFr
     owner = symbols.where("ownerId IS NOT NULL").select(F.col("id").alias("source"), F.col("ownerId").alias("target"), F.lit(-1).cast("long").alias("slot"))
     links = edges.where("sourceId IS NOT NULL").select(F.col("sourceId").alias("source"), F.col("targetId").alias("target"), F.col("ref_seq").alias("slot"))
     graph = owner.unionByName(links).groupBy("source", "target").agg(F.min("slot").alias("slot"))
-    seeds = lambda own: own.select(F.col("symbolId").alias("node"), F.col("seq").alias("rank"))
-    live = reach(graph, seeds(entries.where("NOT testOnly")), paths=True, local=PROJECT).select(F.col("node").alias("id"), F.col("path").alias("live"))
-    tested = reach(graph, seeds(entries), paths=True, local=PROJECT).select(F.col("node").alias("id"), F.col("path").alias("tested"))
+    labels = F.when(F.col("testOnly"), F.array(F.lit("tested"))).otherwise(F.array(F.lit("live"), F.lit("tested")))
+    seeds = entries.select(F.explode(labels).alias("label"), F.col("symbolId").alias("node"), F.col("seq").alias("rank"))
+    found = reach(graph, seeds, paths=True, local=PROJECT)
+    live, tested = (found.where(F.col("label") == label).select(F.col("node").alias("id"), F.col("path").alias(label)) for label in ("live", "tested"))
     both = symbols.select("id").join(live, "id", "left").join(tested, "id", "left")
     value = F.when(F.col("live").isNotNull(), "production").when(F.col("tested").isNotNull(), "test-only").otherwise("unreachable")
     return both.select("id", value.alias("reachability"), F.coalesce("live", "tested", F.array().cast("array<string>")).alias("path"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.plans import clones
+from quarry.plans.markdown import render
 from quarry.plans.project import Project
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -326,6 +327,33 @@ def tree_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "code string, message string")
 
 
+_UNUSED = "y.name NOT IN (SELECT owner FROM r WHERE NOT test AND reachability <> 'unreachable' AND owner IS NOT NULL)"
+
+
+@query(f"""SELECT section, CAST(CASE section WHEN 'Triggers' THEN n ELSE least(25, n) END AS BIGINT) AS lines, CAST(CASE section WHEN 'Triggers' THEN 0 ELSE greatest(0, n - 25) END AS BIGINT) AS more FROM (
+SELECT 'Integrity findings' AS section, (SELECT count(*) FROM s WHERE k % 9 = 4) + (SELECT count(*) FROM s WHERE k % 11 = 6) AS n
+UNION ALL SELECT 'Clone families', (SELECT count(*) FROM (SELECT g FROM s GROUP BY g HAVING count(*) > 1))
+UNION ALL SELECT 'Query families', (SELECT count(*) FROM (SELECT g FROM s GROUP BY g, k % 2 HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT g FROM s GROUP BY g HAVING count(DISTINCT k % 2) = 2))
+UNION ALL SELECT 'Write families', (SELECT count(*) FROM (SELECT g FROM s GROUP BY g, k % 2 HAVING count(*) > 1))
+UNION ALL SELECT 'Triggers', (SELECT count(*) FROM y WHERE kind = 'trigger')
+UNION ALL SELECT 'Unreachable types', (SELECT count(*) FROM y JOIN r USING (name) WHERE y.kind = 'class' AND NOT y.test AND reachability = 'unreachable' AND {_UNUSED})
+UNION ALL SELECT 'Unreachable members', (SELECT count(*) FROM y JOIN r USING (name) WHERE y.kind = 'method' AND NOT y.test AND reachability = 'unreachable')) WHERE n > 0""")
+def tree_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown report's tables: lines that are shown, and how many more there are."""
+    sections, own = [], None
+    for line in render(project(spark, sf_dir).report()).split("\n"):
+        if line.startswith("## "):
+            own = [line[3:], 0, 0]
+            sections.append(own)
+        elif own and line.startswith("| "):
+            own[1] += 1
+        elif own and line.endswith("additional item(s) are in the JSON report."):
+            own[2] = int(line.split()[0].replace(",", ""))
+    names = ("Integrity findings", "Clone families", "Query families", "Write families", "Triggers", "Unreachable types", "Unreachable members")
+    found = [(name, lines - 2, more) for name, lines, more in sections if name in names and lines]
+    return spark.createDataFrame(found, "section string, lines long, more long")
+
+
 @query("""SELECT unnest(['apexFiles', 'metadataFiles', 'apexCharacters', 'testApexCharacters', 'symbols', 'classes', 'methods', 'resolvedReferences', 'productionReachable', 'testOnlyReachable', 'unreachable', 'eligibleTriggers', 'blockedTriggers', 'ineligibleTriggers', 'productionClasses', 'findings']) AS name,
  unnest([(SELECT count(*) FROM f WHERE path LIKE '%.cls' OR path LIKE '%.trigger'), (SELECT count(*) FROM f WHERE NOT (path LIKE '%.cls' OR path LIKE '%.trigger')), (SELECT sum(length(text)) FROM f WHERE path LIKE '%.cls' OR path LIKE '%.trigger'), (SELECT coalesce(sum(length(text)), 0) FROM f WHERE path LIKE '%Test.cls'),
  (SELECT count(*) FROM y), (SELECT count(*) FROM y WHERE kind = 'class'), (SELECT count(*) FROM y WHERE kind = 'method'), (SELECT count(*) FROM e), (SELECT count(*) FROM y JOIN r USING (name) WHERE reachability = 'production'), (SELECT count(*) FROM y JOIN r USING (name) WHERE reachability = 'test-only'), (SELECT count(*) FROM y JOIN r USING (name) WHERE reachability = 'unreachable'),
