@@ -51,8 +51,9 @@ RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyj",)),
 )
 SPANS = "array<struct<rule:string,start:int,end:int>>"
-#: Blobs to scan whose hashes are broadcast (about 60 bytes each), so that no text shuffles; more are joined by a shuffle.
-FEW = 200_000
+#: Where the ledger has most blobs, the hashes of up to so many others are broadcast (about 60 bytes each), and no text
+#: shuffles; more of them, or more than one in SHARE of all, are joined by a shuffle.
+FEW, SHARE = 200_000, 10
 
 
 def find(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
@@ -92,7 +93,7 @@ class BlobLedger:
         known = self.rows().groupBy("sha").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
         todo = blobs.join(known, "sha", "left").select("sha", "one_id", F.array_except(asked, F.coalesce("known", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
         todo = stored(todo, f"{work}/todo")
-        if todo.limit(FEW + 1).count() <= FEW:
+        if SHARE * todo.limit(FEW + 1).count() <= min(SHARE * FEW, versions.count()):
             todo = F.broadcast(todo)
         texts = docs.select("doc_id", F.unhex(F.sha2(text_of(), 256)).alias("blob"), text_of().alias("text"))
         unseen = texts.join(todo, (F.col("blob") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("one_id"))).select("sha", "rules", "text")
