@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 
 from quarry.functions import FNV_PRIME, FNV_START, MASK
 
 K, WINDOW, CELLS, SEEDS, MATCHES, FRAGMENT = 12, 6, 2_000_000, 500, 50, 40
 #: Between the tokens of a k-gram.
 SEPARATOR = "\x1f"
+#: Bits of a k-gram's place in its sequence.
+PLACE = 28
 
 
 def fnv1a32(text: str) -> int:
@@ -23,38 +26,57 @@ def stable_hash(text: str) -> str:
     return f"{fnv1a32(text):08x}"
 
 
-def kgram_hashes(tokens: list[str], k: int = K, separator: str = SEPARATOR) -> np.ndarray:
-    """FNV-1a of each k tokens in a row, joined by the separator: all k-grams step through their characters together."""
-    n = len(tokens) - k + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
+def kgram_hashes(tokens: list[str], counts: np.ndarray, k: int = K, separator: str = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    """Of each k tokens in a row of one sequence: the place of the first among all tokens, and the FNV-1a of them joined.
+
+    tokens: those of all sequences in a row; counts: how many each has. All k-grams step through their characters together.
+    """
+    last = np.repeat(np.cumsum(counts), counts) - k
+    first = np.flatnonzero(np.arange(len(tokens)) <= last)
+    if not len(first):
+        return first, np.empty(0, np.int64)
     units = np.frombuffer(separator.join(tokens).encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint64)
-    sizes = np.array([len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in tokens], np.int64)
-    gap = len(separator)
+    sizes, gap = np.fromiter(map(len, tokens), np.int64, len(tokens)), len(separator)
+    if int(sizes.sum()) + gap * (len(tokens) - 1) != len(units):  # some characters are two units
+        sizes = np.array([len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in tokens], np.int64)
     starts = np.cumsum(sizes + gap) - sizes - gap
-    lengths = starts[k - 1 :] + sizes[k - 1 :] - starts[:n]
+    lengths = starts[first + k - 1] + sizes[first + k - 1] - starts[first]
     order = np.argsort(-lengths, kind="stable")
-    at, left = starts[:n][order], lengths[order]
-    h = np.full(n, FNV_START, np.uint64)
-    live = np.searchsorted(-left, -np.arange(int(left[0]) if n else 0), side="left")  # how many have a character more
+    at, left = starts[first][order], lengths[order]
+    h = np.full(len(first), FNV_START, np.uint64)
+    live = np.searchsorted(-left, -np.arange(int(left[0])), side="left")  # how many have a character more
     for step, m in enumerate(live.tolist()):
         h[:m] = (h[:m] ^ units[at[:m] + step]) * np.uint64(FNV_PRIME) & np.uint64(MASK)
-    out = np.empty(n, np.int64)
+    out = np.empty(len(first), np.int64)
     out[order] = h.astype(np.int64)
-    return out
+    return first, out
+
+
+def winnowed(tokens: list[str], counts: np.ndarray, k: int = K, window: int = WINDOW, separator: str = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, hash, index): the rightmost least hash of each window of k-grams of a sequence, each once; of all its
+    k-grams, if there are few. tokens and counts as kgram_hashes takes them."""
+    counts = np.asarray(counts, np.int64)
+    first, hashes = kgram_hashes(tokens, counts, k, separator)
+    own = np.repeat(np.arange(len(counts)), counts)[first]
+    index = first - (np.cumsum(counts) - counts)[own]
+    keys = (hashes << PLACE) - index  # the later of equal hashes is the lesser key
+    grams = np.maximum(counts - k + 1, 0)
+    begins = np.cumsum(grams) - grams
+    least = sliding_window_view(keys, window).min(axis=1) if len(keys) >= window else keys[:0]
+    full = np.arange(len(least))[index[: len(least)] + window <= grams[own[: len(least)]]]
+    few = np.flatnonzero((grams > 0) & (grams < window))
+    short = np.array([keys[begins[d] : begins[d] + grams[d]].min() for d in few], np.int64)
+    docs, picked = np.concatenate([own[full], few]), np.concatenate([least[full], short])
+    new = np.ones(len(docs), bool)  # a least key stays for some windows in a row
+    new[1:] = (docs[1:] != docs[:-1]) | (picked[1:] != picked[:-1])
+    docs, picked = docs[new], picked[new]
+    return docs, (picked + (1 << PLACE) - 1) >> PLACE, -picked % (1 << PLACE)
 
 
 def winnow(tokens: list[str], k: int = K, window: int = WINDOW, separator: str = SEPARATOR) -> list[tuple[int, int]]:
-    """(hash, index): the rightmost least hash of each window of k-grams, each once; of all, if there are few."""
-    hashes = kgram_hashes(tokens, k, separator)
-    n = len(hashes)
-    if not n:
-        return []
-    keys = hashes * (1 << 20) - np.arange(n)  # the later of equal hashes is the lesser key
-    wide = min(window, n)
-    least = np.lib.stride_tricks.sliding_window_view(keys, wide).min(axis=1)
-    picked = dict.fromkeys(least.tolist())
-    return [((key + (1 << 20) - 1) >> 20, -key % (1 << 20)) for key in picked]
+    """(hash, index) of one sequence's fingerprints."""
+    _, hashes, places = winnowed(tokens, np.array([len(tokens)]), k, window, separator)
+    return list(zip(hashes.tolist(), places.tolist(), strict=True))
 
 
 def lcs_length(left: list, right: list) -> int:

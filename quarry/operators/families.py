@@ -9,9 +9,9 @@ from quarry.functions import jaccard
 from quarry.operators.components import connected_components
 
 
-def key_families(df: DataFrame, keys: list[str], member: str, least: int = 2, least_members: int = 1) -> DataFrame:
-    """keys, occurrences, members (distinct): groups with enough of both. Hot keys add up before they shuffle."""
-    groups = df.groupBy(*keys).agg(F.count("*").alias("occurrences"), F.count_distinct(member).alias("members"))
+def key_families(df: DataFrame, keys: list[str], member: str, least: int = 2, least_members: int = 1, also: tuple[Column, ...] = ()) -> DataFrame:
+    """keys, occurrences, members (distinct), and more aggregates: groups with enough of both. Hot keys add up before they shuffle."""
+    groups = df.groupBy(*keys).agg(F.count("*").alias("occurrences"), F.count_distinct(member).alias("members"), *also)
     return groups.where((F.col("occurrences") >= least) & (F.col("members") >= least_members))
 
 

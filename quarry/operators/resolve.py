@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A name, and what gives ref and target of the references that it is asked about.
+Tier = tuple[str, Callable[[DataFrame], DataFrame]]
 
-def resolve(refs: DataFrame, ref: str, tiers: list[tuple[str, DataFrame]]) -> DataFrame:
-    """ref, tier, target, targets, resolution for refs (a column ref identifies them).
 
-    tiers: (name, frame of ref and target), the first with any target for a reference wins. One target is exact, more
-    are conservative; a reference without any has null target and is unresolved.
-    """
-    every = reduce(DataFrame.unionByName, (df.select(ref, "target", F.lit(k).alias("_k")) for k, (_, df) in enumerate(tiers))).distinct()
-    best = every.withColumn("_best", F.min("_k").over(Window.partitionBy(ref))).where("_k = _best").drop("_best")
+def first_tier(refs: DataFrame, ref: str, tiers: list[Tier]) -> DataFrame:
+    """ref, target, tier: the targets of the first tier that has any for a reference. A tier is asked only about the
+    references that those before it left over."""
+    found = []
+    for name, targets in tiers:
+        own = targets(refs).select(ref, "target").distinct()
+        found.append(own.withColumn("tier", F.lit(name)))
+        refs = refs.join(own.select(ref).distinct(), ref, "left_anti")
+    return reduce(DataFrame.unionByName, found)
+
+
+def certain(found: DataFrame, ref: str) -> DataFrame:
+    """found with targets (how many its reference has) and resolution: one target is exact, more are conservative, none
+    (a null one) is unresolved."""
     n = F.count("target").over(Window.partitionBy(ref))
-    found = refs.select(ref).join(best, ref, "left").withColumn("targets", n)
-    names: Column = F.element_at(F.array(*(F.lit(name) for name, _ in tiers)), F.col("_k") + 1)
     how = F.when(F.col("targets") == 0, "unresolved").when(F.col("targets") == 1, "exact").otherwise("conservative")
-    return found.select(ref, F.when(F.col("_k").isNotNull(), names).alias("tier"), "target", "targets", how.alias("resolution"))
+    return found.withColumn("targets", n).withColumn("resolution", how)
+
+
+def resolve(refs: DataFrame, ref: str, tiers: list[Tier]) -> DataFrame:
+    """ref, tier, target, targets, resolution for refs; a reference without any target has a row, too."""
+    found = refs.select(ref).distinct().join(first_tier(refs, ref, tiers), ref, "left")
+    return certain(found, ref).select(ref, "tier", "target", "targets", "resolution")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,22 +15,31 @@ from quarry.functions import kernels
 from quarry.operators.components import connected_components
 
 MOST_REGIONS, LEAST_SEEDS, STRONG, BROAD, BROAD_TOKENS = 30, 2, 0.85, 0.70, 120
+#: Tokens that are fingerprinted at a time.
+TOKENS = 1_000_000
 
 
 def fingerprints(df: DataFrame, key: str, tokens: str, k: int = kernels.K, window: int = kernels.WINDOW, separator: str = kernels.SEPARATOR) -> DataFrame:
     """key, hash, pos: the winnowed fingerprints of each row's array of tokens."""
 
-    def winnowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def winnowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(name, h, i) for name, own in zip(b[key], b[tokens], strict=True) for h, i in kernels.winnow(list(own), k, window, separator)]
-            yield pd.DataFrame(found, columns=[key, "hash", "pos"])
+            counts = pc.list_value_length(b[tokens]).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(counts)
+            begin = 0
+            while begin < len(counts):  # as many sequences at a time as have about TOKENS tokens
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + TOKENS, side="right")))
+                docs, hashes, places = kernels.winnowed(b[tokens][begin:end].flatten().to_pylist(), counts[begin:end], k, window, separator)
+                yield pa.record_batch([b[key].take(pa.array(docs + begin)), pa.array(hashes), pa.array(places.astype(np.int32))], [key, "hash", "pos"])
+                begin = end
 
-    return df.select(key, tokens).where(F.col(tokens).isNotNull()).mapInPandas(winnowed, f"{key} {dict(df.dtypes)[key]}, hash long, pos int")
+    return df.select(key, tokens).where(F.col(tokens).isNotNull()).mapInArrow(winnowed, f"{key} {dict(df.dtypes)[key]}, hash long, pos int")
 
 
 def candidate_pairs(prints: DataFrame, key: str) -> DataFrame:
     """left, right, seeds (how many), at (their positions): pairs that share LEAST_SEEDS seeds or more of hashes that
-    are in 2 to MOST_REGIONS regions. The bound on regions bounds each hash's pairs, and the skew."""
+    are in 2 to MOST_REGIONS regions. The bound on regions bounds each hash's pairs, and the skew. prints is read three
+    times: give a stored table."""
     rare = prints.groupBy("hash").agg(F.count_distinct(key).alias("regions")).where(F.col("regions").between(2, MOST_REGIONS)).select("hash")
     own = prints.join(rare, "hash")
     left, right = own.select("hash", F.col(key).alias("left"), F.col("pos").alias("l")), own.select("hash", F.col(key).alias("right"), F.col("pos").alias("r"))

@@ -11,6 +11,7 @@ from quarry.functions import fnv1a32, jaccard, normalize_fragment, normalize_nam
 from quarry.operators import families, graph, ordered, resolve, similarity
 from quarry.operators.components import connected_components
 from quarry.operators.intervals import merge_intervals
+from quarry.plans.stages import run_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,14 +124,18 @@ def doc_winnow_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.fingerprints(_doc_tokens(spark, sf_dir), "doc_id", "tokens", separator=" ")
 
 
+def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(doc_winnow_fingerprints(spark, sf_dir), run_dir(spark, "prints"))
+
+
 @query(_FP_SQL + """, r AS (SELECT hash FROM fp GROUP BY hash HAVING count(DISTINCT doc_id) BETWEEN 2 AND 30)
 SELECT a.doc_id AS "left", b.doc_id AS "right", count(*) AS seeds FROM fp a JOIN fp b ON a.hash = b.hash AND a.doc_id < b.doc_id WHERE a.hash IN (SELECT hash FROM r) GROUP BY ALL HAVING count(*) >= 2""")
 def doc_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.candidate_pairs(doc_winnow_fingerprints(spark, sf_dir), "doc_id").select("left", "right", "seeds")
+    return similarity.candidate_pairs(_prints(spark, sf_dir), "doc_id").select("left", "right", "seeds")
 
 
 def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similarity.candidate_pairs(doc_winnow_fingerprints(spark, sf_dir), "doc_id")
+    pairs = similarity.candidate_pairs(_prints(spark, sf_dir), "doc_id")
     return similarity.verified(pairs, _doc_tokens(spark, sf_dir), "doc_id", "tokens", " ")
 
 
@@ -141,8 +146,6 @@ def doc_near_miss_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def doc_near_miss_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.plans.stages import run_dir, stored
-
     near = stored(_verified(spark, sf_dir).where("near").select("left", "right", "similarity"), run_dir(spark, "near"))
     return similarity.near_families(near)
 
@@ -232,7 +235,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         (t["supplier"], ("s", "s_suppkey"), ("n", "s_nationkey")), (t["nation"], ("n", "n_nationkey"), ("r", "n_regionkey")),
     ):
         every = every.unionByName(edge(df, a, b))
-    return every.distinct()
+    return stored(every.distinct(), run_dir(spark, "edges"))
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +327,7 @@ SELECT ref, tier, target, count(target) OVER (PARTITION BY ref) AS targets, CASE
 def resolve_prioritized(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ref"), F.col("c_nationkey").alias("owner"), (F.col("c_custkey") % 10).alias("name"))
     targets = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_nationkey").alias("owner"), (F.col("s_suppkey") % 10).alias("name"))
-    return resolve.resolve(refs, "ref", [("owner", refs.join(targets, ["owner", "name"])), ("global", refs.join(targets.drop("owner"), "name"))])
+    return resolve.resolve(refs, "ref", [("owner", lambda left: left.join(targets, ["owner", "name"])), ("global", lambda left: left.join(targets.drop("owner"), "name"))])
 
 
 @query("""

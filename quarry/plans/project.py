@@ -202,7 +202,7 @@ class Project:
     def dml_families(self) -> DataFrame:
         d = self._observed("dml").withColumn("target", F.coalesce("targetType", "targetExpression"))
         keys = ["operation", "target", "allOrNone", "accessMode"]
-        return d.groupBy(*keys).agg(F.count("*").alias("occurrences"), F.array_sort(F.collect_set("symbolId")).alias("symbols"), F.min("at").alias("at")).where((F.col("occurrences") >= 2) & (F.size("symbols") >= 2))
+        return fam.key_families(d, keys, "symbolId", 2, 2, (F.array_sort(F.collect_set("symbolId")).alias("symbols"), F.min("at").alias("at"))).drop("members")
 
     @cached_property
     def assessments(self) -> DataFrame:
@@ -222,7 +222,8 @@ class Project:
         member = F.concat("kind", F.lit(":"), normalize_name(F.coalesce("owner", F.lit("unknown"))), F.lit("."), normalize_name(F.col("name")), F.lit("("), signature, F.lit(")"))
         key = F.when(F.col("ownerId").isNull(), F.concat(F.lit("type:"), normalize_name(F.col("qualifiedName")))).otherwise(member)
         named = self.symbols.join(owner, "ownerId", "left").withColumn("key", key)
-        twice = named.groupBy("key").agg(F.count("*").alias("n"), F.min_by("qualifiedName", "sym_seq").alias("shown"), F.min_by("owner", "sym_seq").alias("owner"), F.bool_and(F.col("ownerId").isNull()).alias("top"), F.array_sort(F.collect_list(F.struct("sym_seq", "location"))).alias("at")).where("n > 1")
+        about = (F.min_by("qualifiedName", "sym_seq").alias("shown"), F.min_by("owner", "sym_seq").alias("owner"), F.bool_and(F.col("ownerId").isNull()).alias("top"), F.array_sort(F.collect_list(F.struct("sym_seq", "location"))).alias("at"))
+        twice = fam.key_families(named, ["key"], "id", also=about)
         tops = twice.where("top").select(normalize_name(F.col("shown")).alias("t"))
         kept = twice.join(tops, normalize_name(F.col("owner")) == F.col("t"), "left_anti")
         out = []

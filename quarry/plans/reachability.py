@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import normalize_name, simple_type_name
 from quarry.operators.graph import PROJECT, closure, reach
+from quarry.operators.resolve import certain, first_tier
 from quarry.plans.stages import stored
 from quarry.sources.apex import PLATFORM_CALLBACKS
 
@@ -70,8 +71,8 @@ def resolve(known: Names, refs: DataFrame) -> DataFrame:
     typed = named(simple.select("ref_seq", "targetType"), "targetType", keys).select("ref_seq", F.col("type").alias("target"))
 
     made = named(refs.where("kind = 'construct' AND targetType IS NOT NULL").select("ref_seq", "targetType", "arity"), "targetType", keys)
-    constructors = out(made.join(names.select("type", "m"), "type").join(members, ["type", "m"]).where("n = arity"))
-    plain = made.select("ref_seq", F.col("type").alias("target")).join(constructors.select("ref_seq").distinct(), "ref_seq", "left_anti")
+    constructors = lambda left: left.join(names.select("type", "m"), "type").join(members, ["type", "m"]).where("n = arity")
+    created = out(first_tier(made, "ref_seq", [("constructor", constructors), ("type", lambda left: left.withColumn("target", F.col("type")))]))
     callbacks = [(i, m) for i, own in PLATFORM_CALLBACKS.items() for m in own]
     platform = refs.sparkSession.createDataFrame(callbacks, "i string, m string")
     called = names.select("type", F.explode("interfaces").alias("i")).withColumn("i", normalize_name(simple_type_name(F.col("i")))).join(F.broadcast(platform), "i")
@@ -85,20 +86,25 @@ def resolve(known: Names, refs: DataFrame) -> DataFrame:
     exact = out(meta.where("memberName IS NOT NULL").withColumn("m", normalize_name(F.col("memberName"))).join(members, ["type", "m"]))
 
     calls = refs.where("kind = 'call' AND memberName IS NOT NULL").select("ref_seq", "receiver", "receiverType", "arity", normalize_name(F.col("memberName")).alias("m"))
-    received = named(calls.where("receiverType IS NOT NULL").select("ref_seq", "receiverType", "arity", "m"), "receiverType", keys)
-    dispatched = received.join(under, "type").select("ref_seq", F.col("sub").alias("type"), "arity", "m")
-    owned = out(dispatched.join(members, ["type", "m"]).where("n = arity")).distinct()
-    platform = normalize_name(simple_type_name(F.coalesce("receiverType", F.lit("")))).isin(*BUILTIN_RECEIVERS)
-    constructed = F.regexp_replace(F.coalesce("receiver", F.lit("")), r"\s+", "").rlike(r"(?i)^new[A-Za-z_]\w*(\.[A-Za-z_]\w*)*\(")
-    left = calls.where(~platform & ~constructed).join(owned.select("ref_seq").distinct(), "ref_seq", "left_anti")
-    anywhere = out(left.join(members.select("m", "n", "target"), "m").where("n = arity"))
-    return union(typed, constructors, plain, called, bare.select("ref_seq", F.col("type").alias("target")), more, exact, owned, anywhere).distinct()
+
+    def dispatched(left: DataFrame) -> DataFrame:
+        """Members of the receiver's type and of those under it."""
+        received = named(left.where("receiverType IS NOT NULL").select("ref_seq", "receiverType", "arity", "m"), "receiverType", keys)
+        return received.join(under, "type").select("ref_seq", F.col("sub").alias("type"), "arity", "m").join(members, ["type", "m"]).where("n = arity")
+
+    def anywhere(left: DataFrame) -> DataFrame:
+        """Members of any type, if the receiver is neither the platform's nor just made."""
+        platform = normalize_name(simple_type_name(F.coalesce("receiverType", F.lit("")))).isin(*BUILTIN_RECEIVERS)
+        constructed = F.regexp_replace(F.coalesce("receiver", F.lit("")), r"\s+", "").rlike(r"(?i)^new[A-Za-z_]\w*(\.[A-Za-z_]\w*)*\(")
+        return left.where(~platform & ~constructed).join(members.select("m", "n", "target"), "m").where("n = arity")
+
+    owned = out(first_tier(calls, "ref_seq", [("owner", dispatched), ("anywhere", anywhere)]))
+    return union(typed, created, called, bare.select("ref_seq", F.col("type").alias("target")), more, exact, owned).distinct()
 
 
 def edges_of(known: Names, refs: DataFrame) -> DataFrame:
     """References with targetId and resolution, a row for each target; those that lead nowhere are left out."""
-    n = F.count("*").over(Window.partitionBy("ref_seq"))
-    found = resolve(known, refs).withColumn("resolution", F.when(n == 1, "exact").otherwise("conservative"))
+    found = certain(resolve(known, refs), "ref_seq")
     own = refs.select("ref_seq", "sourceId", "kind", "testContext", "location", "detail", "arguments", "passed")
     return own.join(found, "ref_seq").select("ref_seq", "sourceId", F.col("target").alias("targetId"), "kind", "resolution", "testContext", "location", "detail", "arguments", "passed")
 

@@ -1,5 +1,6 @@
 """Plain-Python kernels against naive versions."""
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -12,17 +13,26 @@ TOKENS = st.lists(st.sampled_from(["a", "bb", "é😀", "c"]), max_size=40)
 
 
 @settings(max_examples=150, deadline=None)
-@given(TOKENS)
-def test_winnow(tokens):
-    hashes = [kernels.fnv1a32(kernels.SEPARATOR.join(tokens[i : i + 12])) for i in range(max(0, len(tokens) - 11))]
-    assert kernels.kgram_hashes(tokens).tolist() == hashes
-    want, last = [], None
-    for begin in range(max(1, len(hashes) - 5) if hashes else 0):
-        best = min(range(begin, min(begin + 6, len(hashes))), key=lambda i: (hashes[i], -i))
-        if best != last:
-            want.append((hashes[best], best))
-            last = best
-    assert kernels.winnow(tokens) == want
+@given(st.lists(TOKENS, max_size=4))
+def test_winnow(sequences):
+    """Several sequences at once; hashes in 32 bits by a loop."""
+    flat, counts = [t for s in sequences for t in s], np.array(list(map(len, sequences)), np.int64)
+    docs, found, places = kernels.winnowed(flat, counts)
+    got = [[] for _ in sequences]
+    for d, h, i in zip(docs.tolist(), found.tolist(), places.tolist(), strict=True):
+        got[d].append((h, i))
+    all_hashes = []
+    for tokens, own in zip(sequences, got, strict=True):
+        hashes = [kernels.fnv1a32(kernels.SEPARATOR.join(tokens[i : i + 12])) for i in range(max(0, len(tokens) - 11))]
+        want, last = [], None
+        for begin in range(max(1, len(hashes) - 5) if hashes else 0):
+            best = min(range(begin, min(begin + 6, len(hashes))), key=lambda i: (hashes[i], -i))
+            if best != last:
+                want.append((hashes[best], best))
+                last = best
+        assert own == want == kernels.winnow(tokens)
+        all_hashes += hashes
+    assert kernels.kgram_hashes(flat, counts)[1].tolist() == all_hashes
 
 
 @settings(max_examples=150, deadline=None)
@@ -61,7 +71,12 @@ def test_folding():
     known = {"PREFIX": "select Id "}.get
     assert strings.folded("PREFIX+('from Case')", known) == "select Id from Case"
     assert strings.folded("'it\\'s'") == "it's"
-    assert strings.folded("'a'+other") is None and strings.folded("('a')+('b')") == "ab"
+    assert strings.folded("'a'+other") is None and strings.folded("('a')+('b')") == strings.folded("(('a'+'b'))") == "ab"
+    assert strings.folded("'a'+('b'+'c')") is strings.folded("'a'+") is strings.folded("") is strings.folded("f('a')") is None
+    found = strings.dynamic_query("SELECT Name, Id FROM Case WHERE Status = 'x' AND a = 1 ORDER BY Id LIMIT 5")
+    assert found == {"object": "Case", "fields": ["Id", "Name"], "filterShape": "status=?anda=?", "normalizedQuery": "selectname,idfromcasewherestatus=?anda=?orderbyidlimit?"}
+    assert strings.dynamic_query("UPDATE x") is None and strings.dynamic_query("select count() from Lead for update")["object"] == "Lead"
+    assert strings.parts("a,f(b,c),[SELECT x,y],'q,r'", ",") == ["a", "f(b,c)", "[SELECT x,y]", "'q,r'"]
     assert strings.query_shape("select Id from A where x=:ids and n=12 and s='q'") == "selectidfromawherex=:bindandn=?ands=?"
     assert strings.dml_options("insert", ["rows", "false"]) == ("false", "default")
     assert strings.dml_options("upsert", ["rows", "Account.Key__c"]) == ("default", "default")

