@@ -35,14 +35,15 @@ def _turns(conversations: DataFrame) -> DataFrame:
 def _rolled(turns: DataFrame) -> DataFrame:
     """conv_id, n (turns up to this one), h1, h2 (their rolling hash), last (whether it is the conversation's last)."""
     inside = Window.partitionBy("conv_id", "chunk").orderBy("ord", "role", "text")
-    turns = turns.withColumn("nth", F.row_number().over(inside))
+    own = lambda salt: F.xxhash64(F.lit(salt), "role", F.lit(salt), "text")
+    turns = turns.select("conv_id", "chunk", F.row_number().over(inside).alias("nth"), own(1).alias("own1"), own(2).alias("own2"))  # texts go no further
     before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = turns.groupBy("conv_id", "chunk").agg(F.count("*").alias("size"))
     starts = chunks.select("conv_id", "chunk", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(Window.partitionBy("conv_id")).alias("total"))
     same = F.col("conv_id").eqNullSafe(F.col("its_conv")) & (F.col("chunk") == F.col("its_chunk"))
     keyed = lambda df: df.withColumnsRenamed({"conv_id": "its_conv", "chunk": "its_chunk"})
-    placed = turns.join(keyed(starts), same).select("conv_id", "chunk", "nth", (F.col("start") + F.col("nth")).alias("n"), "total", "role", "text")
-    hashed = placed.select("conv_id", "chunk", "nth", "n", "total", *(F.xxhash64(F.lit(salt), "n", "role", F.lit(salt), "text").alias(h) for h, salt in (("h1", 1), ("h2", 2))))
+    placed = turns.join(keyed(starts), same).select("conv_id", "chunk", "nth", (F.col("start") + F.col("nth")).alias("n"), "total", "own1", "own2")
+    hashed = placed.select("conv_id", "chunk", "nth", "n", "total", *(F.xxhash64(F.lit(salt), "n", f"own{salt}").alias(f"h{salt}") for salt in (1, 2)))
     running = Window.partitionBy("conv_id", "chunk").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     rolled = hashed.select("conv_id", "chunk", "n", "total", *(F.bit_xor(h).over(running).alias(h) for h in ("h1", "h2")))
     totals = hashed.groupBy("conv_id", "chunk").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
@@ -66,7 +67,9 @@ def rendered_turn(role: Column, text: Column) -> Column:
 
 def collapse_and_render(conversations: DataFrame) -> DataFrame:
     """conv_id, part, n_turns (of the whole conversation), text: the maximal conversations, rendered."""
-    parts = _turns(conversations).groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("ord", "role", "text"))).alias("turns"))
-    kept = maximal(conversations).withColumnRenamed("conv_id", "kept_id")
+    kept = stored(maximal(conversations), f"{run_dir(conversations.sparkSession, 'chat')}/kept").withColumnRenamed("conv_id", "kept_id")
+    turns = _turns(conversations)
+    turns = turns.join(kept, turns["conv_id"].eqNullSafe(kept["kept_id"]))
+    parts = turns.groupBy("conv_id", "chunk", "n_turns").agg(F.array_sort(F.collect_list(F.struct("ord", "role", "text"))).alias("turns"))
     text = F.array_join(F.transform("turns", lambda t: rendered_turn(t["role"], t["text"])), "")
-    return parts.join(kept, parts["conv_id"].eqNullSafe(kept["kept_id"])).select("conv_id", F.col("chunk").alias("part"), "n_turns", text.alias("text"))
+    return parts.select("conv_id", F.col("chunk").alias("part"), "n_turns", text.alias("text"))
