@@ -16,8 +16,8 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", lo
 
     Each round points the neighbours of a node at the least of them, first the larger ones, then the smaller ones; the
     edges end up as stars. Rounds grow with the logarithm of the graph. A round is aggregates and joins (no group is
-    gathered). The aggregates are stored before they are joined: a join right behind an aggregate would keep all edges of
-    a node in one task, while a join of two plain exchanges is split where a node has very many neighbours. Nodes may be
+    gathered). The first aggregate is stored before it is joined: a join right behind an aggregate would keep all edges
+    of a node in one task, while a join of two plain exchanges is split where a node has very many neighbours. Nodes may be
     of any type that has an order. Edges with a null end and loops are left out.
     """
     path, turn, before = run_dir(edges.sparkSession, "components"), 0, None
@@ -29,8 +29,7 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", lo
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{path}/{turn}-all")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, f"{path}/{turn}-large")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{path}/{turn}-least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))  # of few edges each: a hub is behind the edges now
         ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v"))))
         small = large.join(least, "u").select(ends.alias("e")).select("e.u", "e.v").where("u != v").distinct()
         turn += 1
