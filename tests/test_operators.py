@@ -5,8 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from quarry.functions import dice, normalize_fragment, percent, portable_path, simple_type_name, stable_hash, utf16_length
-from quarry.operators import graph, ordered, resolve
+from quarry.functions import dice, kernels, normalize_fragment, percent, portable_path, simple_type_name, stable_hash, utf16_length
+from quarry.operators import graph, ordered, resolve, similarity
 from quarry.operators.components import connected_components
 from quarry.operators.intervals import merge_intervals, overlap, within
 
@@ -129,3 +129,53 @@ def test_functions(spark):
         percent(F.lit(1), F.lit(0)).alias("e"), stable_hash(F.lit("a")).alias("f"), normalize_fragment(F.lit("WHERE A = 'x' AND n > 10 AND id = :v.Id")).alias("g"), portable_path(F.lit(".\\a\\b")).alias("h"), dice(F.array(F.lit(1)), F.array(F.lit(1), F.lit(2))).alias("i"),
     ).first()
     assert row.asDict() == {"a": "Map", "b": "Inner", "c": 4, "d": 1.01, "e": 0.0, "f": "e40c292c", "g": "wherea=?andn>?andid=:bind", "h": "a/b", "i": 2 / 3}
+
+
+def test_candidate_pairs_never_pair_places(spark):
+    """Seeds as the definition counts them; a hash that stands often in two regions makes no row for each two of its places."""
+    rng = random.Random(5)
+    prints = [(d, rng.randint(0, 40), p) for d in range(12) for p in range(30)] + [(d, 99, p) for d in (3, 4) for p in range(400)] + [(d, 98, 0) for d in range(31)] + [(d, 97, 1) for d in range(30)] + [(None, 97, 2)]
+    regions, places = collections.defaultdict(set), collections.Counter((d, h) for d, h, _ in prints if d is not None)
+    for d, h in places:
+        regions[h].add(d)
+    want = collections.Counter()
+    for h, own in regions.items():
+        for a in own if 2 <= len(own) <= similarity.MOST_REGIONS else ():
+            for b in own:
+                if a < b:
+                    want[a, b] += places[a, h] * places[b, h]
+    frame = spark.createDataFrame(prints, "doc long, hash long, pos int")
+    pairs = similarity.candidate_pairs(frame, "doc", hashes=True)
+    got = {(r.left, r.right): (r.seeds, set(r.hashes)) for r in pairs.collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, n in want.items() if n >= similarity.LEAST_SEEDS}
+    assert all(hashes == {h for h, own in regions.items() if len(own) in range(2, similarity.MOST_REGIONS + 1) and {*pair} <= own} for pair, (_, hashes) in got.items())
+    # 160,000 pairs of places of one hash: its two regions are one row before rows are added up
+    plan = pairs._jdf.queryExecution().optimizedPlan()
+    assert "Join" not in plan.toString()
+    # read in small batches, so that hashes go on over their ends
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {(r.left, r.right): r.seeds for r in similarity.candidate_pairs(frame, "doc").collect()} == {k: n for k, (n, _) in got.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_verified_and_fragments_of_packed_tokens(spark):
+    """Against plain versions over pairs of places; tokens with the marks of packing come back."""
+    assert similarity.unpacked("") == []
+    rng = random.Random(6)
+    line = [f"w{k}" for k in range(60)]
+    texts = [line, line + ["x\x1fy", "\x1e0"], line[:50] + [f"v{rng.randint(0, 9)}" for _ in range(80)], line * 3, [f"q{rng.randint(0, 9)}" for _ in range(50)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, tokens array<string>")
+    prints = similarity.fingerprints(df, "doc", "tokens")
+    pairs = spark.createDataFrame(similarity.candidate_pairs(prints, "doc", hashes=True).collect(), "left long, right long, seeds long, hashes array<long>")
+    want = {(a, b) for a in range(4) for b in range(a + 1, 4)}
+    checked = similarity.verified(pairs, df, "doc", "tokens").collect()
+    assert {(r.left, r.right): r.similarity for r in checked} == {(a, b): kernels.sequence_similarity(texts[a], texts[b], 0) for a, b in want}
+    found = collections.defaultdict(list)
+    for r in similarity.fragments(pairs, df, "doc", "tokens").collect():
+        found[r.left, r.right].append(tuple(r)[2:])
+    own = [kernels.winnow(t) for t in texts]
+    for a, b in want:
+        at = sorted((i, j) for h, i in own[a] for g, j in own[b] if g == h)
+        assert sorted(found[a, b]) == sorted(kernels.maximal_matches(texts[a], texts[b], at))
