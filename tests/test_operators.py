@@ -131,6 +131,19 @@ def test_functions(spark):
     assert row.asDict() == {"a": "Map", "b": "Inner", "c": 4, "d": 1.01, "e": 0.0, "f": "e40c292c", "g": "wherea=?andn>?andid=:bind", "h": "a/b", "i": 2 / 3}
 
 
+def test_labels_are_searched_by_executors(spark, monkeypatch):
+    """Many labels over one gathered graph: nothing of the result is made in the driver, and the rows are those of the search level by level."""
+    rng = random.Random(12)
+    edges = spark.createDataFrame([(f"n{rng.randint(0, 30)}", f"n{rng.randint(0, 30)}", k) for k in range(45)], "source string, target string, slot long").groupBy("source", "target").agg(F.min("slot").alias("slot"))
+    seeds = spark.createDataFrame([(x, f"n{rng.randint(0, 30)}", k) for k, x in enumerate("abcdefgh" * 2)] + [("i", "nowhere", 0)], "label string, node string, rank long")
+    monkeypatch.setattr(graph, "_searched", None)
+    shown = lambda df: sorted(map(str, df.select("label", "node", "hops", "path").collect()))
+    assert shown(graph.reach(edges, seeds, paths=True, local=60)) == shown(graph.reach(edges, seeds, paths=True))
+    one, two = (graph.reach(edges, seeds, places=True, local=k).collect() for k in (60, 0))
+    order = lambda rows: [(r.label, r.hops, r.node) for r in sorted(rows, key=lambda r: (r.label, r.hops, r.place))]
+    assert order(one) == order(two) and "path" not in one[0]
+
+
 def test_candidate_pairs_never_pair_places(spark):
     """Seeds as the definition counts them; a hash that stands often in two regions makes no row for each two of its places."""
     rng = random.Random(5)
