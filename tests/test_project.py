@@ -140,3 +140,33 @@ def test_errors(spark, tmp_path, capsys):
     (tmp_path / "sfdx-project.json").write_text("{")
     with pytest.raises(ValueError, match="Unable to read"):
         Project(spark, str(tmp_path))
+
+
+def test_class_names_are_the_same_by_parts(spark, monkeypatch):
+    """Gathered facts, and parts of them that the executors follow: the same blockers and edges."""
+    from quarry.plans import project as plan
+
+    text = """public class Maker {
+    public static Type a(String n) { String x = n; return Type.forName(x); }
+    public static Type b() { return Type.forName(rows().get(0).Class__c); }
+    static List<Setting__mdt> rows() { return more(1); }
+    static List<Setting__mdt> more(Integer k) { return [SELECT Class__c FROM Setting__mdt]; }
+    public static Type c(String n) { return Type.forName(n); }
+    public static Type d() { return Type.forName(Other.kept().Class__c); }
+    void e() { a('Made'); a('Ma' + 'ker'); c(String.valueOf(2)); c('Made'); }
+}"""
+    other = "public class Other { public static Setting__mdt kept() { return Setting__mdt.getInstance('x'); } }"
+    starts = "trigger Starts on Account (after insert) { Maker.b(); Maker.d(); new Maker().e(); Far.go(); }"
+    far = "public class Far { public static void go() { to('Made'); } static void to(String n) { Type t = Type.forName(n); } }"
+    record = '<CustomMetadata><values><field>Class__c</field><value xsi:type="xsd:string">Made</value></values></CustomMetadata>'
+    files = [("app/classes/Maker.cls", text), ("app/classes/Other.cls", other), ("app/classes/Far.cls", far), ("app/classes/Made.cls", "public class Made { }"), ("app/triggers/Starts.trigger", starts), ("app/customMetadata/Setting.One.md-meta.xml", record)]
+    found = []
+    for few in (plan.FEW, 0):
+        monkeypatch.setattr(plan, "FEW", few)
+        if not few:
+            monkeypatch.setattr(plan.provenance, "resolve", None)  # what gathers the facts
+        p = plan.Project(spark, files=spark.createDataFrame(files, "path string, text string"))
+        edges = p.graph["edges"].select("sourceId", "targetId", "kind", "resolution", "detail").collect()
+        found.append((p.graph["blockers"], sorted(map(str, edges))))
+    assert found[0] == found[1]
+    assert {b["dynamicExpression"] for b in found[0][0] if b["code"] == "dynamic-type"} and any("Resolved Type.forName value: Made" in e for e in found[0][1])
