@@ -5,6 +5,7 @@ import json
 import pytest
 
 from quarry.__main__ import main
+from quarry.plans import flow, tree_queries
 from quarry.plans.markdown import render
 from quarry.plans.project import Project, analyze_project, to_json
 
@@ -106,6 +107,32 @@ def test_report_is_text(report):
     assert "## Triggers" in text and "LeadTrigger" in text
 
 
+def test_markdown_and_totals_gather_no_long_lists(spark, tmp_path, monkeypatch):
+    more = {f"app/classes/Lone{n}.cls": f"public class Lone{n} {{ public void go{n}() {{ }} }}" for n in range(30)} | {f"app/classes/Lone{n}Twice.cls": f"public class Lone{n} {{ }}" for n in range(27)}
+    p = Project(spark, written(tmp_path / "many", FILES | more))
+    whole = p.report()
+    for gathered in ("report", "evidence", "clone_groups", "clone_totals"):
+        monkeypatch.delattr(Project, gathered)
+    monkeypatch.setattr(tree_queries, "project", lambda *_: p)
+    shown = render(p.overview() | {"generatedAt": ""})
+    assert shown == render(whole | {"generatedAt": ""}) and shown.count("additional item(s)") >= 3
+    totals = p.totals()
+    assert totals["inventory"] == whole["inventory"] and totals["summary"] == whole["summary"] and totals["findings"] == len(whole["analysis"]["findings"]) > 25
+    assert all(whole[part][k] == v for part in ("flowMigration", "topLevelClassNameAudit") for k, v in totals[part].items())
+    got = {r["name"]: r["value"] for r in tree_queries.tree_report(spark, "").collect()}
+    assert got["symbols"] == len(whole["symbols"]) and got["findings"] == len(whole["analysis"]["findings"])
+    cut = {r["section"]: (r["lines"], r["more"]) for r in tree_queries.tree_markdown(spark, "").collect()}
+    assert cut["Integrity findings"] == (25, len(whole["analysis"]["findings"]) - 25)
+
+
+def test_names_of_records_are_searched_before_the_save_only(spark, tmp_path, monkeypatch):
+    asked, search = set(), flow.record_names
+    monkeypatch.setattr(flow, "record_names", lambda paths, *rest: asked.update(r["label"] for r in paths.collect()) or search(paths, *rest))
+    found = Project(spark, written(tmp_path / "mixed", FILES)).assessments.collect()
+    before = {r["triggerSymbolId"] for r in found if all(e.startswith("before ") for e in r["events"])}
+    assert asked == before and 0 < len(before) < len(found)
+
+
 RESOLVER = """public class Resolver {
     public static void direct() { List<Setting__mdt> found = [SELECT Class__c FROM Setting__mdt]; make(found[0].Class__c); }
     public static void viaGetter() { Setting__mdt one = Setting__mdt.getInstance('Main'); make(one.Class__c); }
