@@ -31,6 +31,8 @@ from quarry.llm.elias_fano import EliasFano
 from quarry.llm.words import encoder
 
 MAGIC, SHARD_IDS, SLICE_CHARS = b"QEF1", 4_000_000, 2_000_000
+#: Of texts that are encoded at once: the more there are, the fewer of their chunks are new or looked up again.
+ENCODED_CHARS = 6_000_000
 _HEAD = struct.Struct("<4sBxxxQQQ")  # magic, bytes an id, documents, of them without a doc_id, ids
 SCHEMA = "part int, shard int, base long, n_docs long, n_ids long, payload binary"
 
@@ -93,7 +95,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: in
         end = np.array([end_id], np.uint32)
         for b in batches:
             ids = b["doc_id"].to_pylist()
-            for begin, texts in sliced(b["text"]):
+            for begin, texts in sliced(b["text"], ENCODED_CHARS):
                 for k, got in enumerate(coder.ids(texts), begin):
                     keys.append(ids[k])
                     runs += (got, end)

@@ -1,6 +1,7 @@
 """Kernels against plain versions: tokenizer cache, Elias-Fano code, packing bounds, windows, bands, smoothing."""
 
 import random
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -141,3 +142,24 @@ def test_machine_is_the_sum_over_pairs():
 
 def test_smoothing_keeps_a_constant():
     assert all(abs(x - 4) < 1e-12 for x in smoothed([4.0] * 9))
+
+
+def test_unseen_chunks_are_encoded_together(monkeypatch):
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    coder, plain = Encoder(file), Tokenizer.from_file(file)
+    asked: list[str] = []
+    encode = coder.tokenizer.encode_batch
+    coder.tokenizer = types.SimpleNamespace(encode_batch=lambda texts, **more: asked.extend(texts) or encode(texts, **more))
+    long = " ".join(f"wort{n},\nWört{n} it's<|endoftext|>%%" for n in range(900))
+    texts = [long, "", "one", " odd  text \n ", "it's it's\nnot'll 東京  x", "a\x00b c", long[:500]]
+    assert [x.tolist() for x in coder.ids(pa.array(texts))] == [_plain(plain, t) for t in texts]
+    assert len(asked) < 25 and not coder.units.place
+    # ids that don't tell their bytes: chunk by chunk instead
+    coder = Encoder(file)
+    coder.measure[5::7] = 0
+    assert [x.tolist() for x in coder.ids(pa.array(texts))] == [_plain(plain, t) for t in texts]
+
+
+def _plain(tokenizer, text):
+    tokenizer.encode_special_tokens = True
+    return tokenizer.encode(text, add_special_tokens=False).ids
