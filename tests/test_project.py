@@ -197,3 +197,27 @@ def test_class_names_are_the_same_by_parts(spark, monkeypatch):
         found.append((p.graph["blockers"], sorted(map(str, edges))))
     assert found[0] == found[1]
     assert {b["dynamicExpression"] for b in found[0][0] if b["code"] == "dynamic-type"} and any("Resolved Type.forName value: Made" in e for e in found[0][1])
+
+
+def test_totals_follow_no_long_paths(spark, tmp_path, monkeypatch):
+    """Verdicts in numbers equal those of the lists; of triggers only those with short paths are searched for."""
+    from quarry.operators import graph
+    from quarry.plans import flow
+
+    calls = {f"classes/C{k}.cls": f"public class C{k} {{ public static void go() {{ C{k + 1}.go(); }} }}" for k in range(8)} | {"classes/C8.cls": "public class C8 { public static void go() { Type t = Type.forName(System.now().format()); } }"}
+    own = calls | {f"classes/D{k}.cls": f"public class D{k} {{ public static void go() {{ D{k + 1}.go(); }} }}" for k in range(6)} | {"classes/D6.cls": "public class D6 { public static void go() { insert new Note__c(); } }"}
+    own |= {f"triggers/T{k}.trigger": f"trigger T{k} on Thing{k}__c (after insert) {{ {c}.go(); }}" for k, c in enumerate(("C0", "C8", "D0", "D3", "D4", "D5", "D6"))}
+    own |= {"triggers/U.trigger": "trigger U on Thing6__c (after insert) { D6.go(); }", "triggers/V.trigger": "trigger V on Other__c (after insert) { D6.go(); D5.go(); }"}
+    p = Project(spark, written(tmp_path / "long", own))
+    want = flow.totals(p.assessments)
+    searched, search = [], graph.reach
+
+    def watched(edges, seeds, **more):
+        found = search(edges, seeds, **more)
+        searched.extend(found.select("label", "node").collect() if "label" in seeds.columns and more.get("places") else [])
+        return found
+
+    monkeypatch.setattr(flow, "reach", watched)
+    got = Project(spark, written(tmp_path / "again", own)).totals()["flowMigration"]
+    assert got == want and want["eligibleTriggers"] >= 2 and want["blockedTriggers"] == 2
+    assert 0 < len(searched) <= 4 * 6 and not any(":t0" in r.label or ":v" in r.label for r in searched)
